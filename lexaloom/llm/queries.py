@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from .chat import read_back, reconstruct, turn_events
 from .common import stored, table
+from .langid import identify_languages
 from .media import media_digests
+from .mixing import mix
+from .toxicity import score_toxicity
 from .url_filter import filter_urls, rule_table
 from .warc import read_archives, with_record_types, write_archives
 
@@ -23,6 +26,18 @@ URL_RULES = [
 ]
 
 
+def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -44,10 +59,27 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_media_columns, op7_chat_formatting, op8_warc, op10_url_filters)
+    f.__name__: f for f in (op1_mixing_sources, op2_toxicity, op5_language_id, op6_media_columns, op7_chat_formatting, op8_warc, op10_url_filters)
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mixing_sources": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('0/' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+        a AS (SELECT *, (k - 1) % 3 + 1 AS weight, source_size * 3 AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s),
+        b AS (SELECT *, cap / weight AS ratio,
+                     (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor FROM a),
+        c AS (SELECT *, max(factor) FILTER (ratio > factor) OVER () AS level FROM b),
+        t AS (SELECT *, CASE WHEN ratio <= factor THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM c),
+        u AS (SELECT *, sum(target) OVER (ORDER BY k) / total AS hi, greatest(1, (total + 131071) // 131072) AS block FROM t),
+        v AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY k), 0) AS lo, k = max(k) OVER () AS is_last, greatest(1, (source_size + block - 1) // block) AS n_blocks FROM u),
+        slots AS (SELECT i, (CAST(i AS BIGINT) * 2654435769 % 4294967296) / 4294967296.0::DOUBLE AS point FROM range((SELECT CAST((total + block - 1) // block AS BIGINT) FROM v LIMIT 1)) r(i)),
+        ranked AS (SELECT k, n_blocks, source_size, block, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS r FROM slots JOIN v ON point >= lo AND (point < hi OR is_last)),
+        times AS (SELECT k, r % n_blocks AS b, count(*) AS times FROM ranked WHERE r < 3 * ((source_size + block - 1) // block) GROUP BY 1, 2),
+        e AS (SELECT d.*, v.k, v.source_size, v.target, v.block, sum(size) OVER (PARTITION BY v.k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
+        x AS (SELECT *, unnest(CASE WHEN size > 0 THEN range(CAST(start // block AS BIGINT), CAST((start + size - 1) // block + 1 AS BIGINT)) ELSE [-1] END) AS b FROM e)
+        SELECT doc_id, size, source_size, target, CAST(coalesce(sum((least(start + size, (x.b + 1) * block) - greatest(start, x.b * block)) * times), 0) AS BIGINT) AS taken
+        FROM x LEFT JOIN times ON times.k = x.k AND times.b = x.b GROUP BY doc_id, size, source_size, target, start, h""",
     "op7_chat_formatting": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
