@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .chat import read_back, reconstruct, turn_events
 from .common import stored, table
+from .decontam import overlaps
+from .jaccard import similar_components
 from .langid import identify_languages
 from .media import media_digests
 from .mixing import mix
@@ -34,6 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -54,12 +60,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing_sources, op2_toxicity, op5_language_id, op6_media_columns, op7_chat_formatting, op8_warc, op10_url_filters)
+    f.__name__: f for f in (op1_mixing_sources, op2_toxicity, op4_ngram_jaccard_join, op5_language_id, op6_media_columns, op7_chat_formatting, op8_warc, op9_decontamination, op10_url_filters)
 }
 
 ORACLES: dict[str, str] = {
@@ -80,6 +90,16 @@ ORACLES: dict[str, str] = {
         x AS (SELECT *, unnest(CASE WHEN size > 0 THEN range(CAST(start // block AS BIGINT), CAST((start + size - 1) // block + 1 AS BIGINT)) ELSE [-1] END) AS b FROM e)
         SELECT doc_id, size, source_size, target, CAST(coalesce(sum((least(start + size, (x.b + 1) * block) - greatest(start, x.b * block)) * times), 0) AS BIGINT) AS taken
         FROM x LEFT JOIN times ON times.k = x.k AND times.b = x.b GROUP BY doc_id, size, source_size, target, start, h""",
+    "op4_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) END AS sh FROM w),
+        n AS MATERIALIZED (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+        u AS MATERIALIZED (SELECT doc_id, hash(unnest(sh)) AS x FROM s),
+        c AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+        r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2""",
     "op7_chat_formatting": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
