@@ -14,6 +14,7 @@ from .jaccard import similar_components
 from .langid import identify_languages
 from .media import media_digests
 from .mixing import mix
+from .suffix import deduplicated
 from .toxicity import score_toxicity
 from .url_filter import filter_urls, rule_table
 from .warc import read_archives, with_record_types, write_archives
@@ -36,6 +37,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents")).drop("row_key")
 
@@ -69,7 +74,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing_sources, op2_toxicity, op4_ngram_jaccard_join, op5_language_id, op6_media_columns, op7_chat_formatting, op8_warc, op9_decontamination, op10_url_filters)
+    f.__name__: f for f in (op1_mixing_sources, op2_toxicity, op3_suffix_array_dedup, op4_ngram_jaccard_join, op5_language_id, op6_media_columns, op7_chat_formatting, op8_warc, op9_decontamination, op10_url_filters)
 }
 
 ORACLES: dict[str, str] = {
