@@ -354,16 +354,15 @@ def merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    parts, at = [], 0
-    for a, b in spans:
-        parts.append(text[at:a])
-        at = b
-    return b"".join([*parts, text[at:]])
+def left_parts(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
+    ends = [0, *[x for span in spans for x in span], len(text)]
+    return [text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]
 
 
 def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, with_text: bool = False, **options) -> DataFrame:
-    """keep, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes) and spans, for every row of docs.
+    """keep, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining text, null for null) and spans, for every row of docs.
+
+    A character that is cut goes whole from `kept`; n_removed and kept_sha256 count bytes.
 
     Texts that have no marks, by a bit table of fixed size, are not shuffled.
     """
@@ -377,8 +376,9 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, with_t
         bits = np.unpackbits(np.frombuffer(table.value, np.uint8)).reshape(3, -1)
         for b in batches:
             some = may_hold(b, 0, bits)
-            texts = [x or b"" for x in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x if s or with_text else None for x, s in zip(texts, some, strict=True)], pa.binary()), pa.array([len(x) for x in texts], pa.int64()), pa.array([None if s else hashlib.sha256(x).hexdigest() for x, s in zip(texts, some, strict=True)], pa.string()), *b.columns[2:]], names=["row_key", "data", "n_bytes", "sha", *kept])
+            whole = utf8(b.column(1))
+            texts = [x or b"" for x in whole]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x if s or with_text else None for x, s in zip(whole, some, strict=True)], pa.binary()), pa.array([len(x) for x in texts], pa.int64()), pa.array([None if s else hashlib.sha256(x).hexdigest() for x, s in zip(texts, some, strict=True)], pa.string()), *b.columns[2:]], names=["row_key", "data", "n_bytes", "sha", *kept])
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -386,17 +386,17 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, with_t
             for text, digest, places in zip(b.column(0), b.column(2).to_pylist(), b.column(3), strict=True):
                 found = merged(list(zip(places.values.field(0).to_pylist(), places.values.field(1).to_pylist(), strict=True))) if places.is_valid else []
                 text = text.as_py()
-                left = without(text, found) if text is not None and found else text
+                left = left_parts(text or b"", found)
                 removed.append(sum(e - s for s, e in found))
                 spans.append(len(found))
-                sha.append(digest if digest is not None and not found else hashlib.sha256(left).hexdigest())
-                rest.append(left)
+                sha.append(digest if digest is not None and not found else hashlib.sha256(b"".join(left)).hexdigest())
+                rest.append("".join(x.decode("utf-8", "ignore") for x in left) if with_text and text is not None else None)
                 runs.append([{"start": s, "end": e} for s, e in found])
-            more = [pa.array(rest, pa.binary()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))] if with_text else []
+            more = [pa.array(rest, pa.string()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))] if with_text else []
             yield pa.RecordBatch.from_arrays([*b.columns[4:], b.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *more], names=[*kept, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "spans"] * with_text])
 
     rows = docs.select(row_key(docs["doc_id"], docs["text"]).alias("_row_key"), docs["text"].alias("_text"), *[docs[c].alias(k) for k, c in zip(kept, keep, strict=True)])
     texts = rows.mapInArrow(thinned, f"row_key long, data binary, n_bytes long, sha string, {own}")
     joined = texts.join(marks, "row_key", "left").select("data", "n_bytes", "sha", "places", *kept)
-    done = joined.mapInArrow(finished, f"{own}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start: bigint, end: bigint>>" * with_text)
+    done = joined.mapInArrow(finished, f"{own}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, spans array<struct<start: bigint, end: bigint>>" * with_text)
     return done.withColumnsRenamed(dict(zip(kept, keep, strict=True)))
