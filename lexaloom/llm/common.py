@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Texts go to Python in batches of at most this many rows, so that two workers fit beside an executor's heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there and any executor can read it."""
     spark = df.sparkSession
@@ -43,7 +50,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 class WordHashes(dict):
     """64-bit word hashes, kept while they fit; at the bound the memory starts again."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -1,16 +1,18 @@
 """N-gram Jaccard join: documents whose sets of word shingles are at least 75 % alike, as components.
 
 1. Each set's first shingles by hash (more than a prefix filter needs) go to inverted lists. A linked
-   pair shares SPARE of its shingles there, so a document with fewer shared ones has no link.
-2. Those left are joined into coarse families by the lists they share, apart for each band of set
-   sizes (linked sets lie in neighbouring bands, and each set joins its own and the next).
+   pair shares SPARE of its shingles there, so a set with fewer shared ones has no link.
+2. Two of those left that share a list of at most LONG sets are a pair; pairs of unlike sizes, and those
+   whose parity bit maps differ in more bits than a link allows, are dropped. Sets with so many shingles in
+   longer lists that a link could hide there are joined through those lists, too. This makes families.
 3. Within a family a T-occurrence search gives the links: with DivideSkip, short lists are merged by
    counting, long ones probed for the candidates that could still reach the required overlap.
-   Documents that link to the family's pivot are one component already, so only the others search.
+   Sets that link to the family's pivot are one component already, so only the others search.
    A family that is too large for a task is searched in blocks, each query block against all blocks.
 4. Components of the links, over classes of equal sets.
 
-Nothing is capped or sampled: every linked pair of different sets is found or implied by others.
+Nothing is capped or sampled: every linked pair of different sets is found or implied by others. Equal
+sets are one node, named by a 64-bit digest.
 
 Defined results: null and wordless texts have 0 shingles and are their own component; texts of fewer
 words than a shingle are one shingle; repeated rows count each; a null id is ignored where another
@@ -28,15 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, stored, utf8, words_of
+from .common import WordHashes, small_batches, stored, utf8, words_of
 from .components import connected_components
 from .decontam import bit_places, bit_table, row_key
 
 SHINGLE, PERCENT, SPARE = 5, 75, 10  # a tenth of a set's shingles is asked of shared lists beyond one
-PART_BYTES = 100_000_000
+PART_BYTES = 50_000_000
 GROUP_SHINGLES = 4_000_000
+LONG = 64
 _K = np.uint64(0x9E3779B97F4A7C15)
-DOC = np.dtype([("uid", "<i8"), ("doc_id", "<i8"), ("null", "?"), ("key", "<i8"), ("n", "<i8"), ("d1", "<i8"), ("d2", "<i8")])
+DOC = np.dtype([("node", "<i8"), ("doc_id", "<i8"), ("null", "?"), ("key", "<i8"), ("n", "<i8")])
 
 
 def shingle_set(data: bytes | None, memory: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -72,26 +75,41 @@ def required(a, b):
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bit k is set if an odd number of hashes end in k; as many bits as the set has shingles, a power of two and at least 64."""
+    size = max(64, 1 << (max(1, len(s)) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: int, m: int) -> bool:
+    """False if the parity maps of sets of n and m shingles differ in more bits than the sets may in shingles."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= n + m - 2 * required(n, m)
+
+
 def postings(docs: DataFrame, parts: int) -> DataFrame:
-    """part, kind, data: packed inverted lists (kind 0) and document rows (kind 1)."""
+    """part, kind, data: packed inverted lists (kind 0), and document rows (kind 1) with their parity maps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, task, n_batch = WordHashes(), TaskContext.get().partitionId(), 0
+        memory, turn = WordHashes(), TaskContext.get().partitionId()
         for whole in batches:
-            for start in range(0, whole.num_rows, 10_000):
-                b = whole.slice(start, 10_000)
-                base = (task << 34) | (n_batch << 14)
-                n_batch += 1
+            for start in range(0, whole.num_rows, 5_000):
+                b = whole.slice(start, 5_000)
+                turn += 1
                 ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
-                rows, tokens, owners, bytes_ = np.zeros(b.num_rows, DOC), [], [], utf8(b.column(2))
-                for k, text in enumerate(bytes_):
+                rows, tokens, owners, maps = np.zeros(b.num_rows, DOC), [], [], []
+                for k, text in enumerate(utf8(b.column(2))):
                     s = shingle_set(text, memory)
-                    d = xxhash.xxh3_128_digest(s.tobytes())
-                    rows[k] = (base + k, ids[k] or 0, ids[k] is None, keys[k], len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))
+                    rows[k] = (xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), ids[k] or 0, ids[k] is None, keys[k], len(s))
+                    maps.append(parity(s).tobytes())
                     p = first_shingles(len(s))
                     tokens.append(s[:p])
                     owners.append(np.full(p, k, np.uint16))
-                out = [(base % parts, 1, rows.tobytes())]
+                out = [(turn % parts, 1, np.int64(len(rows)).tobytes() + rows.tobytes() + b"".join(maps))]
                 if tokens:
                     t = np.concatenate(tokens) * _K
                     t ^= t >> np.uint64(32)
@@ -99,77 +117,166 @@ def postings(docs: DataFrame, parts: int) -> DataFrame:
                     part = (t % np.uint64(parts)).astype(np.int64)
                     order = np.argsort(part, kind="stable")
                     cut = np.searchsorted(part[order], np.arange(parts + 1))
-                    band = bands(rows["n"]).astype(np.uint8)
                     for p in range(parts):
                         at = order[cut[p] : cut[p + 1]]
                         if len(at):
                             x = t[at] >> np.uint64(24)
-                            out.append((p, 0, b"".join((np.array([base, len(rows), len(at)], np.int64).tobytes(), band.tobytes(), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (x >> np.uint64(32)).astype(np.uint8).tobytes(), o[at].tobytes()))))
+                            used, own = np.unique(o[at], return_inverse=True)
+                            out.append((p, 0, b"".join((np.array([len(used), len(at)], np.int64).tobytes(), rows["node"][used].tobytes(), rows["n"][used].astype(np.int32).tobytes(), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (x >> np.uint64(32)).astype(np.uint8).tobytes(), own.astype(np.uint16).tobytes()))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["part", "kind", "data"])
 
     return docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), F.col("text")), "text").mapInArrow(run, "part int, kind int, data binary")
 
 
-LISTED = pa.schema([(c, pa.int64()) for c in ("a", "b", "c", "uid", "doc_id", "row_key", "n", "d1", "d2")])
+LISTED = pa.schema([("list", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("parity", pa.binary())])
 
 
-def list_edges(key: np.ndarray, uid: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, c): document b of the inverted lists shares c of them, whose first document is a; ids doubled, plus 1 in the next band."""
-    o = np.argsort(key, kind="stable")
-    key, uid, band = key[o], uid[o], band[o]
+def shared_lists(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The postings of lists with two different sets or more; a set is once in a list."""
+    o = np.lexsort((node, key))
+    key, node, n = key[o], node[o], n[o]
+    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.empty(0, bool)
+    key, node, n = key[new], node[new], n[new]
     same = key[1:] == key[:-1]
-    keep = np.r_[False, same] | np.r_[same, False]
-    key, uid, band = key[keep], uid[keep], band[keep].astype(np.uint64)
-    key = np.concatenate([key << np.uint64(8) | band, key << np.uint64(8) | (band + np.uint64(1))])
-    node = np.concatenate([uid * 2, uid * 2 + 1])
-    o = np.argsort(key, kind="stable")
-    key, node = key[o], node[o]
-    if not len(key):
-        return node, node, node
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    a = np.repeat(np.minimum.reduceat(node, starts), sizes)
-    keep = np.repeat(sizes > 1, sizes)
-    a, b = a[keep], node[keep]
-    if not len(a):
-        return a, b, a
-    o = np.lexsort((b, a))
-    a, b = a[o], b[o]
-    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return a[starts], b[starts], np.diff(np.r_[starts, len(a)])
+    keep = np.r_[False, same] | np.r_[same, False] if len(key) else new
+    return key[keep], node[keep], n[keep]
 
 
 def listed(blocks: DataFrame) -> DataFrame:
-    """The edges of each part's inverted lists and the document rows, as one table."""
+    """The shared lists of each part and the document rows, as one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges() -> Iterator[pa.RecordBatch]:
+        def lists() -> Iterator[pa.RecordBatch]:
             if held:
-                a, b, c = list_edges(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]))
-                for k in range(0, len(a), 1_000_000):
-                    abc = [pa.array(x[k : k + 1_000_000], pa.int64()) for x in (a, b, c)]
-                    yield pa.RecordBatch.from_arrays([*abc, *[pa.nulls(len(abc[0]), pa.int64())] * 6], schema=LISTED)
+                key, node, n = shared_lists(*[np.concatenate([x[c] for x in held]) for c in range(3)])
+                for k in range(0, len(key), 500_000):
+                    own = [pa.array(x[k : k + 500_000].astype(np.int64)) for x in (key, node, n)]
+                    none = pa.nulls(len(own[0]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*own, none, none, pa.nulls(len(none), pa.binary())], schema=LISTED)
 
         held, part = [], None
         for batch in batches:
             for p, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if p != part:
-                    yield from edges()
+                    yield from lists()
                     held, part = [], p
                 data = data.as_py()
                 if kind:
-                    r = np.frombuffer(data, DOC)
-                    none = pa.nulls(len(r), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(r["uid"]), pa.array(r["doc_id"], mask=r["null"]), *[pa.array(r[c]) for c in ("key", "n", "d1", "d2")]], schema=LISTED)
+                    yield document_rows(data)
                     continue
-                base, rows, n = np.frombuffer(data, np.int64, 3).tolist()
-                band = np.frombuffer(data, np.uint8, rows, 24)
-                low, high = np.frombuffer(data, np.uint32, n, 24 + rows), np.frombuffer(data, np.uint8, n, 24 + rows + 4 * n)
-                own = np.frombuffer(data, np.uint16, n, 24 + rows + 5 * n)
-                held.append((high.astype(np.uint64) << np.uint64(32) | low, base + own.astype(np.int64), band[own]))
-        yield from edges()
+                docs, size = np.frombuffer(data, np.int64, 2).tolist()
+                at = 16
+                node = np.frombuffer(data, np.int64, docs, at)
+                n = np.frombuffer(data, np.int32, docs, at + 8 * docs)
+                at += 12 * docs
+                low, high = np.frombuffer(data, np.uint32, size, at), np.frombuffer(data, np.uint8, size, at + 4 * size)
+                own = np.frombuffer(data, np.uint16, size, at + 5 * size)
+                held.append((high.astype(np.uint64) << np.uint64(32) | low, node[own], n[own]))
+        yield from lists()
+
+    return blocks.sortWithinPartitions("part").mapInArrow(run, "list long, node long, n long, doc_id long, row_key long, parity binary")
+
+
+def document_rows(data: bytes) -> pa.RecordBatch:
+    count = int(np.frombuffer(data, np.int64, 1)[0])
+    r = np.frombuffer(data, DOC, count, 8)
+    start = 8 + count * DOC.itemsize
+    ends = (start + np.cumsum(map_bytes(r["n"]))).tolist()
+    maps = [data[a:b] for a, b in zip([start, *ends][:count], ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.nulls(count, pa.int64()), pa.array(r["node"]), pa.array(r["n"]), pa.array(r["doc_id"], mask=r["null"]), pa.array(r["key"]), pa.array(maps, pa.binary())], schema=LISTED)
+
+
+def map_bytes(n: np.ndarray) -> np.ndarray:
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)) // 8
+
+
+def list_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, n of a, n of b: pairs of sets of like size in lists of at most `long`, once each."""
+    starts, sizes = runs_of(key)
+    out = []
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= long)]).tolist():
+        at = starts[sizes == size][:, None] + np.arange(size)
+        i, j = np.triu_indices(size, 1)
+        x, y = at[:, i].ravel(), at[:, j].ravel()
+        ok = (np.minimum(n[x], n[y]) * 100 >= PERCENT * np.maximum(n[x], n[y])) & (node[x] != node[y])
+        x, y = x[ok], y[ok]
+        p = np.empty(len(x), [("a", "<i8"), ("b", "<i8"), ("n", "<i8"), ("m", "<i8")])
+        p["a"], p["b"], p["n"], p["m"] = node[x], node[y], n[x], n[y]
+        out.append(np.unique(p))
+    p = np.unique(np.concatenate(out)) if out else np.empty(0, [("a", "<i8"), ("b", "<i8"), ("n", "<i8"), ("m", "<i8")])
+    return p["a"], p["b"], p["n"], p["m"]
+
+
+def long_list_edges(key: np.ndarray, node: np.ndarray, n: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, c) of longer lists: for each band of sizes, b is in c lists whose least set is a; a = b counts b's longer lists."""
+    starts, sizes = runs_of(key)
+    keep = np.repeat(sizes > long, sizes)
+    key, node, band = key[keep], node[keep], bands(n[keep])
+    own, counts = np.unique(node, return_counts=True)
+    group = np.concatenate([np.c_[key, band], np.c_[key, band + 1]])
+    both = np.concatenate([node, node])
+    o = np.lexsort((both, group[:, 1], group[:, 0]))
+    group, both = group[o], both[o]
+    if not len(both):
+        return both, both, both
+    first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(1)])
+    a = np.repeat(both[first], np.diff(np.r_[first, len(both)]))
+    e = np.unique(np.c_[a, both][a != both], axis=0)
+    return np.r_[own, e[:, 0]], np.r_[own, e[:, 1]], np.r_[counts, np.zeros(len(e), np.int64)]
+
+
+def runs_of(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+    return starts, np.diff(np.r_[starts, len(a)])
+
+
+def candidate_pairs(lists: DataFrame, alive: bytes, long: int) -> DataFrame:
+    """a, b, n, m of pairs; and, n null, a, b, m as the a, b, c of long_list_edges. alive: a bit table of the sets left."""
+    shared = lists.sparkSession.sparkContext.broadcast(alive)  # 1.5 MB
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).reshape(3, -1)
+        for b in batches:
+            p = bit_places(b.column(1).to_numpy().view(np.uint64))
+            yield b.filter(pa.array((bits[0][p[0]] & bits[1][p[1]] & bits[2][p[2]]).astype(bool)))
 
-    return blocks.sortWithinPartitions("part").mapInArrow(run, "a long, b long, c long, uid long, doc_id long, row_key long, n long, d1 long, d2 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate([r[c] for r in rows]) for c in range(3)]
+            pairs, edges = list_pairs(*columns, long), long_list_edges(*columns, long)
+            for k in range(0, len(pairs[0]), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 500_000]) for x in pairs], names=["a", "b", "n", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1]), pa.nulls(len(edges[0]), pa.int64()), pa.array(edges[2])], names=["a", "b", "n", "m"])
+
+        held, size = [], 0
+        for b in batches:  # lists are whole: a cut falls between two of them
+            rows = [c.to_numpy() for c in b.columns]
+            if size > 1_000_000:
+                last = held[-1][0][-1]
+                n = int(np.searchsorted(rows[0], last, "right"))
+                if n < len(rows[0]):
+                    yield from out([*held, [x[:n] for x in rows]])
+                    held, size, rows = [], 0, [x[n:] for x in rows]
+            held.append(rows)
+            size += len(rows[0])
+        if held:
+            yield from out(held)
+
+    kept = lists.select("list", "node", "n").mapInArrow(left, "list long, node long, n long")
+    return kept.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a long, b long, n long, m long")
+
+
+def likely_pairs(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs(a, b, n, m) whose parity maps(node, parity) allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [may_link(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8), n, m) for x, y, n, m in zip(batch.column(4), batch.column(5), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            kept = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
+
+    left, right = maps.select(F.col("node").alias("a"), F.col("parity").alias("pa")), maps.select(F.col("node").alias("b"), F.col("parity").alias("pb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
 class Inverted:
@@ -269,12 +376,12 @@ def search(members: DataFrame) -> DataFrame:
 
         held, group, out = {}, None, []
         for b in batches:
-            for g, cls, asks, answers, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for g, cls, asks, answers, data in zip(*[c.to_pylist() for c in b.columns[:4]], b.column(4), strict=True):
                 if g != group:
                     out += links()
                     held, group = {}, g
                 was = held.get(cls, (False, False, None))
-                held[cls] = (asks or was[0], answers or was[1], data)
+                held[cls] = (asks or was[0], answers or was[1], data.as_py())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
                 out = []
@@ -303,7 +410,7 @@ def family_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def pivot_links(members: DataFrame) -> DataFrame:
     """fam, cls, pivot, linked for members(fam, cls, shared, shingles): is the class linked with the family's pivot?"""
     pivots = members.groupBy("fam").agg(F.max_by("cls", F.struct("shared", "cls")).alias("pivot"))
-    chosen = members.join(pivots, (members["fam"] == pivots["fam"]) & (members["cls"] == pivots["pivot"])).select(members["fam"], "pivot", F.col("shingles").alias("other"))
+    chosen = pivots.join(members.select("fam", F.col("cls").alias("pivot"), F.col("shingles").alias("other")), ["fam", "pivot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -342,27 +449,32 @@ def family_search(docs: DataFrame, members: DataFrame, limit: int = GROUP_SHINGL
     return links.union(held.where("linked AND cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))).union(search(blocks))
 
 
-def similar_components(docs: DataFrame, *, part_bytes: int = PART_BYTES, limit: int = GROUP_SHINGLES) -> DataFrame:
+def similar_components(docs: DataFrame, *, part_bytes: int = PART_BYTES, limit: int = GROUP_SHINGLES, long: int = LONG) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id for every row of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-size // part_bytes))
     table = stored(listed(postings(docs, parts).repartitionById(parts, F.col("part"))), "lists")
-    rows = table.where("uid IS NOT NULL").select("uid", "doc_id", "row_key", "n", "d1", "d2")
-    classes = rows.groupBy("d1", "d2").agg(F.min("uid").alias("cls"), F.min_by("row_key", "uid").alias("cls_key"))
-    rows = stored(rows.join(classes, ["d1", "d2"]).select("uid", "doc_id", "row_key", "n", "cls", "cls_key"), "rows")
-
-    edges = table.where("a IS NOT NULL").select("a", "b", "c")
-    shared = edges.groupBy("b").agg(F.sum("c").alias("shared"))
+    rows, lists = table.where("row_key IS NOT NULL").select("doc_id", "row_key", "n", "node", "parity"), table.where("list IS NOT NULL").select("list", "node", "n")
     least = F.floor(F.floor((F.col("n") * PERCENT + 99) / 100) / SPARE) + 1
-    alive = stored(shared.withColumn("uid", F.shiftright("b", 1)).join(rows, "uid").where(F.col("shared") >= least).select("b", "cls", "cls_key", "n", "shared"), "alive")
-    star = edges.select("a", "b").join(alive.select("b"), "b").distinct()
+    alive = stored(lists.groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least), "alive")
+    found = stored(candidate_pairs(lists, bit_table(alive.select(F.col("node").alias("hash"))), long), "pairs")
+    maps = rows.join(alive.select("node"), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"), F.min("row_key").alias("row_key"))
+    maps = stored(maps, "maps")
+    near = likely_pairs(found.where("n IS NOT NULL").distinct(), maps)
+
+    through = found.where("n IS NULL")
+    deep = through.where("a = b").groupBy("b").agg(F.sum("m").alias("deep")).join(alive.select(F.col("node").alias("b"), "n"), "b").where(F.col("deep") >= least).select("b")
+    star = through.where("a <> b").select("a", "b").distinct().join(deep, "b")
     centre = star.groupBy("a").agg(F.min("b").alias("m"))
-    fams = connected_components(star.join(centre, "a").select(F.col("m").alias("a"), "b"))
-    members = alive.join(fams, F.col("b") == F.col("node")).groupBy(F.col("root").alias("fam"), "cls").agg(F.first("n").alias("n"), F.max("shared").alias("shared"), F.first("cls_key").alias("row_key"))
+    heads = through.where("a <> b").select("a").distinct().join(deep.select(F.col("b").alias("a")), "a")  # a list's least set may be one of them itself
+    star = star.join(centre, "a").select(F.col("m").alias("a"), "b").union(heads.join(centre, "a").select(F.col("m").alias("a"), F.col("a").alias("b")))
+    fams = connected_components(near.union(star))
+    members = fams.join(alive, "node").join(maps.select("node", "row_key"), "node").select(F.col("root").alias("fam"), F.col("node").alias("cls"), "n", "shared", "row_key")
     comps = connected_components(family_search(docs, stored(members, "members"), limit))
 
-    named = rows.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls"))
+    named = rows.drop("parity").join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     ids = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return named.join(ids, "comp", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
