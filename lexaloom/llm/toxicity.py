@@ -24,10 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small_batches, utf8
 
-SAMPLE = 20_000
-WIDTH = 1 << 22
+SAMPLE = 10_000
 PREFIX = 4
 KEEP, EVIDENCE = 4096, 24.0
 THRESHOLD = 0.3
@@ -56,11 +55,11 @@ def tokens(data: bytes | None) -> set[bytes]:
 
 
 def word_features(word: bytes) -> tuple[int, int]:
-    return xxhash.xxh3_64_intdigest(word) % WIDTH, xxhash.xxh3_64_intdigest(b"^" + word[:PREFIX]) % WIDTH
+    return xxhash.xxh3_64_intdigest(word) >> 1, xxhash.xxh3_64_intdigest(b"^" + word[:PREFIX]) >> 1
 
 
 def text_features(words: set[bytes]) -> np.ndarray:
-    return np.unique(np.array([f for w in words for f in word_features(w)], np.int32))
+    return np.unique(np.array([f for w in words for f in word_features(w)], np.int64))
 
 
 def swapped(words: set[bytes]) -> set[bytes] | None:
@@ -104,16 +103,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], *, l2: float = 1e
     rate = float(y.mean()) if len(y) else 0.0
     if not 0 < rate < 1:
         return ToxicityModel(bias=30.0 if rate else -30.0)
-    ids = np.concatenate([r[0] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    df, pos = np.bincount(ids, minlength=WIDTH), np.bincount(ids[y[row] == 1], minlength=WIDTH)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    names, ids = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    df, pos = np.bincount(ids, minlength=len(names)), np.bincount(ids[y[row] == 1], minlength=len(names))
     some = np.flatnonzero(df >= 3)
     n, n1 = len(y), y.sum()
     expected = df[some] * (n1 / n)
     chi2 = (pos[some] - expected) ** 2 / np.maximum(expected * (1 - df[some] / n) * (1 - n1 / n), 1e-9)
     told = chi2 >= EVIDENCE  # about what the best of many thousand features without meaning reaches
     some, chi2 = some[told], chi2[told]
-    kept = np.sort(some[np.lexsort((some, -chi2))[:KEEP]])
+    kept = names[np.sort(some[np.lexsort((some, -chi2))[:KEEP]])]
     if not len(kept):
         return ToxicityModel(bias=float(np.log(rate / (1 - rate))))
 
@@ -122,11 +121,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], *, l2: float = 1e
         ok = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == ids)
         return row[ok], at[ok]
 
-    r, c = compact(row, ids)
+    r, c = compact(row, names[ids])
+    del ids, row, names
     pairs = [(k, x) for k, x in enumerate(rows) if x[1] is not None]
     changes = [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for _, (a, b, _) in pairs]
-    plus = compact(np.repeat(np.arange(len(pairs)), [len(a) for a, _ in changes]), np.concatenate([a for a, _ in changes] or [np.empty(0, np.int32)]))
-    minus = compact(np.repeat(np.arange(len(pairs)), [len(b) for _, b in changes]), np.concatenate([b for _, b in changes] or [np.empty(0, np.int32)]))
+    plus = compact(np.repeat(np.arange(len(pairs)), [len(a) for a, _ in changes]), np.concatenate([a for a, _ in changes] or [np.empty(0, np.int64)]))
+    minus = compact(np.repeat(np.arange(len(pairs)), [len(b) for _, b in changes]), np.concatenate([b for _, b in changes] or [np.empty(0, np.int64)]))
     w, b = np.zeros(len(kept)), float(np.log(rate / (1 - rate)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -164,8 +164,9 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
+    small_batches(docs.sparkSession)
     got = labelled_features(docs, labels, sample).toArrow()
-    rows = [(np.frombuffer(f, np.int32), None if s is None else np.frombuffer(s, np.int32), int(t > 0)) for f, s, t in zip(*[c.to_pylist() for c in got.columns], strict=True)]
+    rows = [(np.frombuffer(f, np.int64), None if s is None else np.frombuffer(s, np.int64), int(t > 0)) for f, s, t in zip(*[c.to_pylist() for c in got.columns], strict=True)]
     return fit(sorted(rows, key=lambda r: (r[2], r[0].tobytes())))
 
 
