@@ -18,7 +18,7 @@ def segment_scores(phrases: DataFrame, counts: DataFrame, wiki: DataFrame) -> Da
     p = phrases.select("phrase").distinct().withColumn("w", F.split("phrase", " "))
     c = counts.select("ngram", "cnt")
     cuts = p.where(F.size("w") > 1).select("phrase", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"), "w").select("phrase", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("a"), F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("b"))
-    products = cuts.join(c.select(F.col("ngram").alias("a"), F.col("cnt").alias("ca")), "a", "left").join(c.select(F.col("ngram").alias("b"), F.col("cnt").alias("cb")), "b", "left").groupBy("phrase").agg(F.collect_list((F.coalesce("ca", F.lit(0)) * F.coalesce("cb", F.lit(0))).cast("double")).alias("products"))
+    products = cuts.join(c.select(F.col("ngram").alias("a"), F.col("cnt").alias("ca")), "a", "left").join(c.select(F.col("ngram").alias("b"), F.col("cnt").alias("cb")), "b", "left").groupBy("phrase").agg(F.collect_list(F.coalesce("ca", F.lit(0)).cast("double") * F.coalesce("cb", F.lit(0))).alias("products"))
     j = p.join(c.select(F.col("ngram").alias("phrase"), "cnt"), "phrase", "left").join(products, "phrase", "left").join(wiki.select("phrase", "prob"), "phrase", "left")
     n, cnt, prob = F.size("w"), F.coalesce("cnt", F.lit(0)), F.coalesce("prob", F.lit(0.0))
     scp = F.when(n == 1, unigram_scp(cnt)).otherwise(ngram_scp(cnt, F.col("products")))
