@@ -433,7 +433,9 @@ def predict_types(spark, sf):
     return typed.predicted_types(contexts(spark, sf), typograms_table(spark, sf)).select("context_id", "type", F.round("prob", 6).alias("prob"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GREEDY}, {LINKED}, {TYPO}, {CTX}, pri AS (SELECT type, cnt / sum(cnt) OVER () AS prior FROM tp WHERE pattern = 'SUB'),
+    x AS (SELECT context_id, o, slot, pattern, fo2.type AS name, cnt AS count, cnt / sum(cnt) OVER (PARTITION BY context_id, o, slot) AS prob FROM (SELECT pr.*, tp.type, tp.cnt FROM pr JOIN tp USING (pattern)) fo2)
+    SELECT context_id, CAST(o AS INT) AS "order", slot, pattern, name, count, round(prob, 6) AS prob, round(prob / prior, 6) AS pmi FROM x JOIN pri ON type = name""")
 def type_features(spark, sf):
     f = typed.type_features(contexts(spark, sf), typograms_table(spark, sf)).where(F.size("features") > 0)
     return f.select("context_id", "order", "slot", "pattern", F.explode("features").alias("x")).select("context_id", "order", "slot", "pattern", "x.name", "x.count", F.round("x.prob", 6).alias("prob"), F.round("x.pmi", 6).alias("pmi"))
@@ -515,9 +517,19 @@ def subsumption_pairs(spark, sf):
     return linking.containing(mentions(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GREEDY}, {MENT}, {PRUNE}, bt AS (SELECT DISTINCT doc_id, mention AS within, uri, cnt FROM pc), s AS (SELECT DISTINCT doc_id, mention FROM me),
+    sup AS (SELECT a.doc_id, a.mention, b.mention AS within, regexp_matches(b.mention, '^[A-Z]') AS person FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.mention <> b.mention AND contains(b.mention, a.mention) WHERE (b.doc_id, b.mention) IN (SELECT doc_id, within FROM bt)),
+    per AS (SELECT doc_id, mention, min(within) AS within FROM sup WHERE person GROUP BY 1, 2),
+    fp AS (SELECT me.doc_id, mention_id, me.mention, uri, cnt FROM me JOIN per ON per.doc_id = me.doc_id AND per.mention = me.mention JOIN bt ON bt.doc_id = per.doc_id AND bt.within = per.within),
+    oth AS (SELECT me.doc_id, mention_id, me.mention, within FROM me JOIN sup ON sup.doc_id = me.doc_id AND sup.mention = me.mention WHERE (me.doc_id, me.mention) NOT IN (SELECT doc_id, mention FROM per)),
+    abv AS (SELECT oth.doc_id, mention_id, mention, uri, cnt FROM oth JOIN bt ON bt.doc_id = oth.doc_id AND bt.within = oth.within),
+    com AS (SELECT * FROM abv WHERE (doc_id, mention_id, uri) IN (SELECT doc_id, mention_id, uri FROM pc)),
+    rst AS (SELECT * FROM abv WHERE (doc_id, mention_id) NOT IN (SELECT doc_id, mention_id FROM com)), {PRIOR},
+    own AS (SELECT pc.* FROM pc JOIN pl USING (doc_id, mention_id, uri) WHERE (doc_id, mention_id) IN (SELECT doc_id, mention_id FROM oth)),
+    alo AS (SELECT * FROM pc WHERE (doc_id, mention) NOT IN (SELECT doc_id, mention FROM sup))
+    SELECT doc_id, mention_id, uri FROM (SELECT * FROM fp UNION ALL SELECT * FROM com UNION ALL SELECT * FROM rst UNION ALL SELECT * FROM own UNION ALL SELECT * FROM alo) GROUP BY ALL""")
 def subsumption(spark, sf):
-    return linking.subsumed(mentions(spark, sf), linking.pruned(found_candidates(spark, sf)))
+    return linking.subsumed(mentions(spark, sf), linking.pruned(found_candidates(spark, sf))).select("doc_id", "mention_id", "uri")
 
 
 @query()
@@ -593,10 +605,14 @@ def densest_linking(spark, sf):
     return graphs.densest_links(found, graphs.candidate_edges(found, near))
 
 
-@query()
+_STEP = "{b} AS MATERIALIZED (SELECT src, node, sum(m) AS m FROM (SELECT {a}.src, p.dst AS node, {a}.m * p.p * 0.85 AS m FROM {a} JOIN p ON p.src = {a}.node UNION ALL SELECT src, node, 0.15 FROM s0) GROUP BY ALL HAVING sum(m) >= 0.001)"
+
+
+@query(f"""WITH {EDGES}, p AS MATERIALIZED (SELECT src, dst, 1 / count(*) OVER (PARTITION BY src) AS p FROM e), s0 AS MATERIALIZED (SELECT DISTINCT src, src AS node, 1.0::DOUBLE AS m FROM e),
+    {_STEP.format(a='s0', b='s1')}, {_STEP.format(a='s1', b='s2')}, {_STEP.format(a='s2', b='s3')} SELECT src, node, round(m, 9) AS p FROM s3""")
 def semantic_signatures(spark, sf):
     e = supplier_edges(spark, sf).withColumn("weight", F.lit(1))
-    return graphs.signatures(e, e.select(F.col("src").alias("uri")).distinct(), steps=3, least=1e-3)
+    return graphs.signatures(e, e.select(F.col("src").alias("uri")).distinct(), steps=3, least=1e-3).withColumn("p", F.round("p", 9))
 
 
 # Tweets: the first words of events' types and users as segments, and short benchmark phrases.
@@ -673,7 +689,9 @@ def edit_context(spark, sf):
     return edits.edit_context(rows).select("edit_id", F.col("i1").cast("long").alias("place"), F.array_join("context", "|").alias("context"))
 
 
-@query()
+@query(rf"""WITH t AS (SELECT conv_id || '-' || turn AS edit_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') AS t FROM conversations),
+    r AS (SELECT edit_id, t, unnest(range(1, len(t) + 1)) AS i FROM t), c AS (SELECT edit_id, i, list_transform(t, lambda x: CASE WHEN x = '.' THEN ',' ELSE {_classes("lower(x)")} END) AS t FROM r WHERE t[i] IN ({SUBS}))
+    SELECT edit_id, CAST(i - 1 AS INT) AS i1, n, array_to_string(list_slice(t, i - n + 1 + k, i + k), ' ') AS ngram, n - 1 - k AS edit_pos FROM c, (VALUES (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)) v(n, k) WHERE i - n + 1 + k >= 1 AND i + k <= len(t)""")
 def edit_ngrams(spark, sf):
     c = read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("edit_id"), T.words(F.coalesce("text", F.lit(""))).alias("tokens2"))
     return edits.context_ngrams(edits.words_where(c, lambda t: t.isin(PREPOSITIONS))).select("edit_id", "i1", "n", "ngram", "edit_pos")
@@ -694,7 +712,7 @@ def class_balance(spark, sf):
     return read(spark, sf, "labels").groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good"))
 
 
-@query()
+@query("SELECT toxic = 1 AS is_error, CAST(CASE WHEN toxic = 1 THEN count(*) ELSE floor(count(*) * 0.25) END AS BIGINT) AS n FROM labels GROUP BY toxic")
 def balanced_sample(spark, sf):
     rows = read(spark, sf, "labels").select(F.col("doc_id").alias("edit_id"), F.lit(0).alias("i1"), F.lit(0).alias("j1"), (F.col("toxic") == 1).alias("is_error"))
     return edits.balanced(rows, share0=0.25).groupBy("is_error").agg(F.count(F.lit(1)).alias("n"))
