@@ -230,7 +230,7 @@ def runs_of(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(a)])
 
 
-def candidate_pairs(lists: DataFrame, alive: bytes, long: int) -> DataFrame:
+def candidate_pairs(lists: DataFrame, alive: bytes, long: int, parts: int) -> DataFrame:
     """a, b, n, m of pairs; and, n null, a, b, m as the a, b, c of long_list_edges. alive: a bit table of the sets left."""
     shared = lists.sparkSession.sparkContext.broadcast(alive)  # 1.5 MB
 
@@ -263,7 +263,8 @@ def candidate_pairs(lists: DataFrame, alive: bytes, long: int) -> DataFrame:
             yield from out(held)
 
     kept = lists.select("list", "node", "n").mapInArrow(left, "list long, node long, n long")
-    return kept.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a long, b long, n long, m long")
+    # as many tasks as the lists' size asks for: each names a pair once, so more tasks would name it more often
+    return kept.repartitionById(parts, F.pmod("list", F.lit(parts)).cast("int")).sortWithinPartitions("list").mapInArrow(run, "a long, b long, n long, m long")
 
 
 def likely_pairs(pairs: DataFrame, maps: DataFrame) -> DataFrame:
@@ -459,7 +460,7 @@ def similar_components(docs: DataFrame, *, part_bytes: int = PART_BYTES, limit:
     rows, lists = table.where("row_key IS NOT NULL").select("doc_id", "row_key", "n", "node", "parity"), table.where("list IS NOT NULL").select("list", "node", "n")
     least = F.floor(F.floor((F.col("n") * PERCENT + 99) / 100) / SPARE) + 1
     alive = stored(lists.groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least), "alive")
-    found = stored(candidate_pairs(lists, bit_table(alive.select(F.col("node").alias("hash"))), long), "pairs")
+    found = stored(candidate_pairs(lists, bit_table(alive.select(F.col("node").alias("hash"))), long, parts), "pairs")
     maps = rows.join(alive.select("node"), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"), F.min("row_key").alias("row_key"))
     maps = stored(maps, "maps")
     near = likely_pairs(found.where("n IS NOT NULL").distinct(), maps)
