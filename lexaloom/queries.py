@@ -11,6 +11,7 @@ from .functions import arrays as A
 from .functions import text as T
 from .functions.math import BIGRAM_MEASURES, cosine
 from .operators import coref, edits, evaluate, features, graphs, labels, linking, links, ngrams, segments, typed, vectors
+from .plans.session import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -351,7 +352,8 @@ def dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def greedy(spark: SparkSession, sf: str, **options) -> DataFrame:
-    return labels.greedy_links(sentences(spark, sf), dictionary(spark, sf), **options)
+    """The mention table that the linking queries use several times over; stored once per query."""
+    return checkpointed(labels.greedy_links(sentences(spark, sf), checkpointed(dictionary(spark, sf)), **options))
 
 
 @query(f"WITH RECURSIVE {GREEDY} SELECT sent_id, start, stop, label, uri FROM gl")
@@ -403,7 +405,7 @@ TYPO = f"""{KB}, ty AS (SELECT uri, general AS type FROM kb), tp AS MATERIALIZED
 
 def typograms_table(spark: SparkSession, sf: str) -> DataFrame:
     kb = knowledge_base(anchor_table(spark, sf))
-    return typed.typed_patterns(typed.linked_ngrams(sentences(spark, sf), greedy(spark, sf)), typed.type_at(kb), 2)
+    return checkpointed(typed.typed_patterns(typed.linked_ngrams(sentences(spark, sf), greedy(spark, sf)), typed.type_at(kb), 2))
 
 
 @query(f"WITH RECURSIVE {GREEDY}, {LINKED}, {TYPO} SELECT pattern, type, cnt FROM tp")
@@ -461,7 +463,7 @@ def ontology_parent(spark, sf):
 
 @query()
 def predict_types_full(spark, sf):
-    out = typed.hierarchical_types(contexts(spark, sf), typograms_table(spark, sf), type_tree(spark, sf), "Thing")
+    out = typed.hierarchical_types(contexts(spark, sf), typograms_table(spark, sf), checkpointed(type_tree(spark, sf)), "Thing")
     return out.withColumn("prob", F.round("prob", 6))
 
 
@@ -475,9 +477,10 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
     return greedy(spark, sf).select(F.col("sent_id").alias("doc_id"), F.col("start").cast("long").alias("mention_id"), F.col("label").alias("mention"), F.when(F.col("label").rlike("^[A-Z]"), F.lit("<dbpedia:Person>")).alias("ner_type"))
 
 
-def found_candidates(spark: SparkSession, sf: str) -> DataFrame:
+def found_candidates(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
     a = anchor_table(spark, sf).select(F.col("mention").alias("matched"), "uri", "cnt")
-    return mentions(spark, sf).withColumn("matched", F.col("mention")).join(a, "matched").select("doc_id", "mention_id", "mention", "uri", "cnt")
+    m = of if of is not None else mentions(spark, sf)
+    return m.withColumn("matched", F.col("mention")).join(a, "matched").select("doc_id", "mention_id", "mention", "uri", "cnt")
 
 
 @query(f"WITH RECURSIVE {GREEDY}, {MENT}, {PRUNE} SELECT doc_id, mention_id, uri, cnt FROM pc")
@@ -529,7 +532,8 @@ def subsumption_pairs(spark, sf):
     alo AS (SELECT * FROM pc WHERE (doc_id, mention) NOT IN (SELECT doc_id, mention FROM sup))
     SELECT doc_id, mention_id, uri FROM (SELECT * FROM fp UNION ALL SELECT * FROM com UNION ALL SELECT * FROM rst UNION ALL SELECT * FROM own UNION ALL SELECT * FROM alo) GROUP BY ALL""")
 def subsumption(spark, sf):
-    return linking.subsumed(mentions(spark, sf), linking.pruned(found_candidates(spark, sf))).select("doc_id", "mention_id", "uri")
+    m = mentions(spark, sf)
+    return linking.subsumed(m, checkpointed(linking.pruned(found_candidates(spark, sf, m)))).select("doc_id", "mention_id", "uri")
 
 
 @query()
@@ -557,7 +561,7 @@ def link_metrics(spark, sf):
 
 @query()
 def candidate_features(spark, sf):
-    found = linking.pruned(found_candidates(spark, sf))
+    found = checkpointed(linking.pruned(found_candidates(spark, sf)))
     graph = found.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "mention_id").orderBy(F.desc("cnt"), "uri")) - 1)
     at = F.split("context_id", ":")
     probs = typed.pattern_probabilities(contexts(spark, sf), typograms_table(spark, sf)).select(at[0].alias("doc_id"), (at[1].cast("long") - 1).alias("mention_id"), "type", "prob")
@@ -581,7 +585,7 @@ def common_neighbor_edges(spark, sf):
 
 
 def walk_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    found = graphs.top_candidates(linking.pruned(found_candidates(spark, sf))).select("doc_id", "mention_id", "mention", "uri", "cnt")
+    found = checkpointed(graphs.top_candidates(linking.pruned(found_candidates(spark, sf))).select("doc_id", "mention_id", "mention", "uri", "cnt"))
     near = links.cooccurrence(resolved(spark, sf), "page_id")
     return found, near, graphs.document_edges(found, near)
 
