@@ -91,8 +91,9 @@ def may_link(a: np.ndarray, b: np.ndarray, n: int, m: int) -> bool:
     return int(np.bitwise_count(a ^ b).sum()) <= n + m - 2 * required(n, m)
 
 
-def postings(docs: DataFrame, parts: int) -> DataFrame:
-    """part, kind, data: packed inverted lists (kind 0), and document rows (kind 1) with their parity maps."""
+def postings(docs: DataFrame, parts: int, long: int = LONG) -> DataFrame:
+    """part, kind, data: packed inverted lists (kind 0), document rows (kind 1) with their parity maps, and edges of lists
+    that are long within a batch of documents (kind 2), of which only each band's least set goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, turn = WordHashes(), TaskContext.get().partitionId()
@@ -114,6 +115,12 @@ def postings(docs: DataFrame, parts: int) -> DataFrame:
                     t = np.concatenate(tokens) * _K
                     t ^= t >> np.uint64(32)
                     o = np.concatenate(owners)
+                    one = np.zeros(len(rows), bool)
+                    one[np.unique(rows["node"], return_index=True)[1]] = True  # equal sets once
+                    t, o = t[one[o]], o[one[o]]
+                    t, o, hot, edges = without_long(t, o, rows["node"], rows["n"], long)
+                    if len(edges[0]):
+                        out.append((turn % parts, 2, np.concatenate(edges).tobytes()))
                     part = (t % np.uint64(parts)).astype(np.int64)
                     order = np.argsort(part, kind="stable")
                     cut = np.searchsorted(part[order], np.arange(parts + 1))
@@ -122,37 +129,76 @@ def postings(docs: DataFrame, parts: int) -> DataFrame:
                         if len(at):
                             x = t[at] >> np.uint64(24)
                             used, own = np.unique(o[at], return_inverse=True)
-                            out.append((p, 0, b"".join((np.array([len(used), len(at)], np.int64).tobytes(), rows["node"][used].tobytes(), rows["n"][used].astype(np.int32).tobytes(), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (x >> np.uint64(32)).astype(np.uint8).tobytes(), own.astype(np.uint16).tobytes()))))
+                            out.append((p, 0, b"".join((np.array([len(used), len(at)], np.int64).tobytes(), rows["node"][used].tobytes(), rows["n"][used].astype(np.int32).tobytes(), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (x >> np.uint64(32)).astype(np.uint8).tobytes(), own.astype(np.uint16).tobytes(), hot[at].tobytes()))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["part", "kind", "data"])
 
     return docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), F.col("text")), "text").mapInArrow(run, "part int, kind int, data binary")
 
 
-LISTED = pa.schema([("list", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("parity", pa.binary())])
+def without_long(t: np.ndarray, o: np.ndarray, nodes: np.ndarray, n: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """A batch's postings with those of long lists cut to each band's least set, which are marked; and the long lists' edges."""
+    order = np.argsort(t, kind="stable")
+    t, o = t[order], o[order]
+    _, sizes = runs_of(t)
+    much = np.repeat(sizes > long, sizes)
+    a, b, c, key, head = star_edges(t[much], nodes[o[much]], bands(n[o[much]]))
+    at = {x: k for k, x in enumerate(nodes.tolist())}
+    heads = np.fromiter((at[x] for x in head.tolist()), np.uint16, len(head))
+    hot = np.r_[np.zeros(int((~much).sum()), np.uint8), np.ones(len(key), np.uint8)]
+    return np.r_[t[~much], key], np.r_[o[~much], heads], hot, (a, b, c)
 
 
-def shared_lists(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The postings of lists with two different sets or more; a set is once in a list."""
-    o = np.lexsort((node, key))
-    key, node, n = key[o], node[o], n[o]
-    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.empty(0, bool)
-    key, node, n = key[new], node[new], n[new]
-    same = key[1:] == key[:-1]
-    keep = np.r_[False, same] | np.r_[same, False] if len(key) else new
-    return key[keep], node[keep], n[keep]
+def star_edges(key: np.ndarray, node: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, c: in a band of a list, b stands with its least set a; a = b counts b's lists. Then the lists' keys and least sets."""
+    own, counts = np.unique(node, return_counts=True)
+    key, node, band = np.r_[key, key], np.r_[node, node], np.r_[band, band + 1]
+    order = np.lexsort((node, band, key))
+    key, node, band = key[order], node[order], band[order]
+    if not len(key):
+        return node, node, node, key, node
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (band[1:] != band[:-1])])
+    a = np.repeat(node[first], np.diff(np.r_[first, len(node)]))
+    e = np.unique(np.c_[a, node][a != node], axis=0)
+    heads = np.unique(np.array(list(zip(key[first].tolist(), node[first].tolist(), strict=True)), [("k", "<u8"), ("v", "<i8")]))
+    return np.r_[own, e[:, 0]], np.r_[own, e[:, 1]], np.r_[counts, np.zeros(len(e), np.int64)], heads["k"], heads["v"]
+
 
+LISTED = pa.schema([*[(c, pa.int64()) for c in ("list", "node", "n", "doc_id", "row_key", "a", "b", "c")], ("parity", pa.binary())])
 
-def listed(blocks: DataFrame) -> DataFrame:
-    """The shared lists of each part and the document rows, as one table."""
+
+def listed_rows(**columns) -> pa.RecordBatch:
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in LISTED], schema=LISTED)
+
+
+def split_lists(key: np.ndarray, node: np.ndarray, n: np.ndarray, hot: np.ndarray, long: int) -> Iterator[pa.RecordBatch]:
+    """Postings of lists with two different sets or more; those of long ones, or marked as such, as edges."""
+    o = np.lexsort((node, key))
+    key, node, n, hot = key[o], node[o], n[o], hot[o]
+    starts, _ = runs_of(key)
+    marked = np.logical_or.reduceat(hot, starts) if len(starts) else hot
+    marked = np.repeat(marked, np.diff(np.r_[starts, len(key)]))
+    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.empty(0, bool)
+    key, node, n, marked = key[new], node[new], n[new], marked[new]
+    _, sizes = runs_of(key)
+    sizes = np.repeat(sizes, sizes)
+    much = marked | (sizes > long)
+    short = ~much & (sizes > 1)
+    a, b, c, _, _ = star_edges(key[much], node[much], bands(n[much]))
+    for k in range(0, len(a), 500_000):
+        yield listed_rows(**{x: pa.array(y[k : k + 500_000]) for x, y in (("a", a), ("b", b), ("c", c))})
+    key, node, n = key[short].astype(np.int64), node[short], n[short].astype(np.int64)
+    for k in range(0, len(key), 500_000):
+        yield listed_rows(**{x: pa.array(y[k : k + 500_000]) for x, y in (("list", key), ("node", node), ("n", n))})
+
+
+def listed(blocks: DataFrame, long: int = LONG) -> DataFrame:
+    """The shared lists of each part, the edges of long ones, and the document rows, as one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists() -> Iterator[pa.RecordBatch]:
             if held:
-                key, node, n = shared_lists(*[np.concatenate([x[c] for x in held]) for c in range(3)])
-                for k in range(0, len(key), 500_000):
-                    own = [pa.array(x[k : k + 500_000].astype(np.int64)) for x in (key, node, n)]
-                    none = pa.nulls(len(own[0]), pa.int64())
-                    yield pa.RecordBatch.from_arrays([*own, none, none, pa.nulls(len(none), pa.binary())], schema=LISTED)
+                yield from split_lists(*[np.concatenate([x[c] for x in held]) for c in range(4)], long)
 
         held, part = [], None
         for batch in batches:
@@ -161,9 +207,12 @@ def listed(blocks: DataFrame) -> DataFrame:
                     yield from lists()
                     held, part = [], p
                 data = data.as_py()
-                if kind:
+                if kind == 1:
                     yield document_rows(data)
                     continue
+                if kind == 2:
+                    yield listed_rows(**dict(zip("abc", map(pa.array, np.frombuffer(data, np.int64).reshape(3, -1)), strict=True)))
+                    continue
                 docs, size = np.frombuffer(data, np.int64, 2).tolist()
                 at = 16
                 node = np.frombuffer(data, np.int64, docs, at)
@@ -171,10 +220,11 @@ def listed(blocks: DataFrame) -> DataFrame:
                 at += 12 * docs
                 low, high = np.frombuffer(data, np.uint32, size, at), np.frombuffer(data, np.uint8, size, at + 4 * size)
                 own = np.frombuffer(data, np.uint16, size, at + 5 * size)
-                held.append((high.astype(np.uint64) << np.uint64(32) | low, node[own], n[own]))
+                hot = np.frombuffer(data, np.uint8, size, at + 7 * size).astype(bool)
+                held.append((high.astype(np.uint64) << np.uint64(32) | low, node[own], n[own], hot))
         yield from lists()
 
-    return blocks.sortWithinPartitions("part").mapInArrow(run, "list long, node long, n long, doc_id long, row_key long, parity binary")
+    return blocks.sortWithinPartitions("part").mapInArrow(run, "list long, node long, n long, doc_id long, row_key long, a long, b long, c long, parity binary")
 
 
 def document_rows(data: bytes) -> pa.RecordBatch:
@@ -183,18 +233,18 @@ def document_rows(data: bytes) -> pa.RecordBatch:
     start = 8 + count * DOC.itemsize
     ends = (start + np.cumsum(map_bytes(r["n"]))).tolist()
     maps = [data[a:b] for a, b in zip([start, *ends][:count], ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.nulls(count, pa.int64()), pa.array(r["node"]), pa.array(r["n"]), pa.array(r["doc_id"], mask=r["null"]), pa.array(r["key"]), pa.array(maps, pa.binary())], schema=LISTED)
+    return listed_rows(node=pa.array(r["node"]), n=pa.array(r["n"]), doc_id=pa.array(r["doc_id"], mask=r["null"]), row_key=pa.array(r["key"]), parity=pa.array(maps, pa.binary()))
 
 
 def map_bytes(n: np.ndarray) -> np.ndarray:
     return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)) // 8
 
 
-def list_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """a, b, n of a, n of b: pairs of sets of like size in lists of at most `long`, once each."""
+def list_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, n of a, n of b: pairs of sets of like size in the lists, once each."""
     starts, sizes = runs_of(key)
     out = []
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= long)]).tolist():
+    for size in np.unique(sizes[sizes > 1]).tolist():
         at = starts[sizes == size][:, None] + np.arange(size)
         i, j = np.triu_indices(size, 1)
         x, y = at[:, i].ravel(), at[:, j].ravel()
@@ -207,31 +257,13 @@ def list_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, long: int) -> t
     return p["a"], p["b"], p["n"], p["m"]
 
 
-def long_list_edges(key: np.ndarray, node: np.ndarray, n: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, c) of longer lists: for each band of sizes, b is in c lists whose least set is a; a = b counts b's longer lists."""
-    starts, sizes = runs_of(key)
-    keep = np.repeat(sizes > long, sizes)
-    key, node, band = key[keep], node[keep], bands(n[keep])
-    own, counts = np.unique(node, return_counts=True)
-    group = np.concatenate([np.c_[key, band], np.c_[key, band + 1]])
-    both = np.concatenate([node, node])
-    o = np.lexsort((both, group[:, 1], group[:, 0]))
-    group, both = group[o], both[o]
-    if not len(both):
-        return both, both, both
-    first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(1)])
-    a = np.repeat(both[first], np.diff(np.r_[first, len(both)]))
-    e = np.unique(np.c_[a, both][a != both], axis=0)
-    return np.r_[own, e[:, 0]], np.r_[own, e[:, 1]], np.r_[counts, np.zeros(len(e), np.int64)]
-
-
 def runs_of(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
     return starts, np.diff(np.r_[starts, len(a)])
 
 
-def candidate_pairs(lists: DataFrame, alive: bytes, long: int, parts: int) -> DataFrame:
-    """a, b, n, m of pairs; and, n null, a, b, m as the a, b, c of long_list_edges. alive: a bit table of the sets left."""
+def candidate_pairs(lists: DataFrame, alive: bytes, parts: int) -> DataFrame:
+    """a, b, n, m: pairs of sets in short lists and their sizes. alive: a bit table of the sets left."""
     shared = lists.sparkSession.sparkContext.broadcast(alive)  # 1.5 MB
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,10 +275,9 @@ def candidate_pairs(lists: DataFrame, alive: bytes, long: int, parts: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate([r[c] for r in rows]) for c in range(3)]
-            pairs, edges = list_pairs(*columns, long), long_list_edges(*columns, long)
+            pairs = list_pairs(*columns)
             for k in range(0, len(pairs[0]), 500_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 500_000]) for x in pairs], names=["a", "b", "n", "m"])
-            yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1]), pa.nulls(len(edges[0]), pa.int64()), pa.array(edges[2])], names=["a", "b", "n", "m"])
 
         held, size = [], 0
         for b in batches:  # lists are whole: a cut falls between two of them
@@ -456,23 +487,23 @@ def similar_components(docs: DataFrame, *, part_bytes: int = PART_BYTES, limit:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-size // part_bytes))
-    table = stored(listed(postings(docs, parts).repartitionById(parts, F.col("part"))), "lists")
-    rows, lists = table.where("row_key IS NOT NULL").select("doc_id", "row_key", "n", "node", "parity"), table.where("list IS NOT NULL").select("list", "node", "n")
+    table = stored(listed(postings(docs, parts, long).repartitionById(parts, F.col("part")), long), "lists")
+    rows, lists, through = table.where("row_key IS NOT NULL").select("doc_id", "row_key", "n", "node", "parity"), table.where("list IS NOT NULL").select("list", "node", "n"), table.where("a IS NOT NULL").select("a", "b", "c")
+    sizes = rows.groupBy("node").agg(F.first("n").alias("n"), F.min("row_key").alias("row_key"), F.first("parity").alias("parity"))
     least = F.floor(F.floor((F.col("n") * PERCENT + 99) / 100) / SPARE) + 1
-    alive = stored(lists.groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least), "alive")
-    found = stored(candidate_pairs(lists, bit_table(alive.select(F.col("node").alias("hash"))), long, parts), "pairs")
-    maps = rows.join(alive.select("node"), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"), F.min("row_key").alias("row_key"))
-    maps = stored(maps, "maps")
-    near = likely_pairs(found.where("n IS NOT NULL").distinct(), maps)
-
-    through = found.where("n IS NULL")
-    deep = through.where("a = b").groupBy("b").agg(F.sum("m").alias("deep")).join(alive.select(F.col("node").alias("b"), "n"), "b").where(F.col("deep") >= least).select("b")
+    inside = through.where("a = b").select(F.col("b").alias("node"), F.col("c").alias("deep"))
+    shared = lists.select("node", F.lit(1).alias("k"), F.lit(0).alias("deep")).union(inside.select("node", "deep", "deep")).groupBy("node").agg(F.sum("k").alias("shared"), F.sum("deep").alias("deep"))
+    alive = stored(shared.join(sizes, "node").where(F.col("shared") >= least).withColumn("deep", F.col("deep") >= least), "alive")
+    found = candidate_pairs(lists, bit_table(alive.select(F.col("node").alias("hash"))), parts).distinct()
+    near = likely_pairs(found, alive.select("node", "parity"))
+
+    deep = alive.where("deep").select(F.col("node").alias("b"))
     star = through.where("a <> b").select("a", "b").distinct().join(deep, "b")
     centre = star.groupBy("a").agg(F.min("b").alias("m"))
     heads = through.where("a <> b").select("a").distinct().join(deep.select(F.col("b").alias("a")), "a")  # a list's least set may be one of them itself
     star = star.join(centre, "a").select(F.col("m").alias("a"), "b").union(heads.join(centre, "a").select(F.col("m").alias("a"), F.col("a").alias("b")))
     fams = connected_components(near.union(star))
-    members = fams.join(alive, "node").join(maps.select("node", "row_key"), "node").select(F.col("root").alias("fam"), F.col("node").alias("cls"), "n", "shared", "row_key")
+    members = fams.join(alive, "node").select(F.col("root").alias("fam"), F.col("node").alias("cls"), "n", "shared", "row_key")
     comps = connected_components(family_search(docs, stored(members, "members"), limit))
 
     named = rows.drop("parity").join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))

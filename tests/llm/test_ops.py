@@ -455,3 +455,31 @@ def test_pipeline_stages(spark):
         assert f(spark, docs, sf).schema.names == docs.columns
         assert f(spark, docs.limit(0), sf).count() == 0
     assert c.run(spark, sf).columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_long_lists_are_cut_within_a_batch():
+    r = np.random.default_rng(3)
+    nodes, n = np.arange(1000, 1400), r.integers(20, 60, 400)
+    t = np.r_[np.full(400, 7, np.uint64), r.integers(100, 1 << 40, 400).astype(np.uint64)]
+    o = np.r_[np.arange(400), np.arange(400)].astype(np.uint16)
+    left, owner, hot, (a, b, c) = jaccard.without_long(t, o, nodes, n, 64)
+    assert hot.sum() == (left == 7).sum() <= 2 * len(np.unique(jaccard.bands(n))) + 2
+    assert {(x, y) for x, y, z in zip(a, b, c, strict=True) if x == y and z == 1} == {(x, x) for x in nodes.tolist()}
+    heads = set(nodes[owner[hot == 1]].tolist())
+    assert {x for x, y in zip(a, b, strict=True) if x != y} <= heads  # each edge leads to a set that goes on
+    alike = {(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    for k in range(1, 400):  # sets of like size share a band's least set
+        for j in range(k):
+            if min(n[k], n[j]) * 100 >= 75 * max(n[k], n[j]):
+                assert any((h, nodes[k]) in alike | {(nodes[k], nodes[k])} and (h, nodes[j]) in alike | {(nodes[j], nodes[j])} for h in heads)
+                break
+
+
+def test_jaccard_common_passage(spark):
+    r, words = random.Random(21), vocabulary(3000)
+    passage = " ".join(r.choice(words) for _ in range(60))
+    texts = [" ".join(r.choice(words) for _ in range(r.choice([10, 40, 100]))) + " " + passage for _ in range(90)]
+    texts += [texts[k] + " end" for k in range(0, 90, 3)]
+    for options in ({}, {"long": 8}, {"long": 8, "limit": 500}):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_components(docs_of(spark, texts), **options).collect()}
+        assert got == brute_components(texts)
