@@ -60,17 +60,13 @@ def target_table(sizes: DataFrame) -> DataFrame:
 
 
 def schedule(spark, spans: list[tuple[int, float, int]], n_slots: int) -> DataFrame:
-    """slot, sid, rank: spans are (sid, end of the source's span, most slots it may have), in order."""
+    """slot, sid, rank: spans are (sid, end of the source's span, most slots it may have) in order, sid counting from 0."""
     point = (F.col("id") * STEP) % CYCLE / float(CYCLE)
-    sid = F.lit(spans[-1][0] if spans else None).cast("int")
-    for k, hi, _ in reversed(spans[:-1]):
-        sid = F.when(F.col("point") < hi, F.lit(k)).otherwise(sid)
+    ends, most = F.array(*[F.lit(float(hi)) for _, hi, _ in spans[:-1]] or [F.lit(2.0)]), F.array(*[F.lit(m).cast("long") for _, _, m in spans] or [F.lit(0).cast("long")])
+    sid = F.size(F.filter(ends, lambda hi: hi <= F.col("point")))
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("point")).withColumn("sid", sid)
     ranked = slots.withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1)
-    most = F.lit(0)
-    for k, _, m in spans:
-        most = F.when(F.col("sid") == k, F.lit(m)).otherwise(most)
-    return ranked.where(F.col("rank") < most).select("slot", "sid", "rank")
+    return ranked.where(F.col("rank") < F.element_at(most, F.col("sid") + 1)).select("slot", "sid", "rank")
 
 
 def mix(docs: DataFrame, *, n_slots: int = SLOTS, seed: int = 0) -> DataFrame:
