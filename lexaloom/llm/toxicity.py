@@ -97,7 +97,7 @@ class ToxicityModel:
         return score
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], *, l2: float = 1e-3, counterfactual: float = 1.0, steps: int = 300) -> ToxicityModel:
+def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], *, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 1000) -> ToxicityModel:
     """rows: (features, features with terms swapped or None, label)."""
     y = np.array([r[2] for r in rows], np.float64)
     rate = float(y.mean()) if len(y) else 0.0
