@@ -121,7 +121,7 @@ def without_adjectives(rows: DataFrame) -> DataFrame:
     """Edits whose left and right tokens (with left_tags, right_tags) have no adjectives before nouns."""
 
     def side(name: str) -> dict[str, Column]:
-        tagged = strip_adjectives(F.transform(F.arrays_zip(F.col(f"{name}_tokens").alias("token"), F.col(f"{name}_tags").alias("tag")), lambda x: F.struct(x[f"{name}_tokens"].alias("token"), x[f"{name}_tags"].alias("tag"))))
+        tagged = strip_adjectives(F.zip_with(f"{name}_tokens", f"{name}_tags", lambda t, tag: F.struct(t.alias("token"), tag.alias("tag"))))
         return {f"{name}_tokens": F.transform(tagged, lambda t: t["token"]), f"{name}_tags": F.transform(tagged, lambda t: t["tag"])}
 
     return rows.withColumns(side("left") | side("right"))
