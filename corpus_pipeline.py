@@ -8,6 +8,9 @@ benchmark passages, and mixing returns how many words of each document the targe
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,23 +22,39 @@ from lexaloom.llm.suffix import deduplicated
 from lexaloom.llm.toxicity import THRESHOLD, scored, train
 
 
+def own_names(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage over columns with names of their own, so that none of docs' can clash with an operator's; n_chars stays if there."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in ("doc_id", "text", "n_chars") else f"_in{k}" for k, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), sf_dir)
+        return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+    return run
+
+
+@own_names
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose score is below the threshold."""
     model = train(docs, table(spark, sf_dir, "labels"))
     return scored(docs, model, keep=tuple(docs.columns)).where(F.col("score") < THRESHOLD).drop("score")
 
 
+@own_names
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of similar ones; texts without words stay."""
     return one_of_each(docs)
 
 
+@own_names
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, their texts without strings of 200 bytes that also start elsewhere; a cut character goes whole."""
     kept = deduplicated(docs, tuple(c for c in docs.columns if c not in ("text", "n_chars")), with_text=True)
     return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
 
 
+@own_names
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that overlap with no benchmark item."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))

@@ -196,4 +196,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that overlap with no benchmark item, with all their columns."""
     bad = overlaps(docs, benchmark).select(F.col("row_key").alias("_bad")).distinct()
-    return docs.join(bad, row_key(docs["doc_id"], docs["text"]) == F.col("_bad"), "left_anti")
+    return docs.join(bad, row_key(docs["doc_id"], docs["text"]) == bad["_bad"], "left_anti")

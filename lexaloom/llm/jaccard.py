@@ -515,4 +515,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their component, with all their columns; wordless rows stay."""
     found = similar_components(docs)
     drop = found.where("n_shingles > 0 AND component_id IS NOT NULL AND (doc_id IS NULL OR doc_id <> component_id)").select(F.col("row_key").alias("_drop")).distinct()
-    return docs.join(drop, row_key(docs["doc_id"].cast("long"), docs["text"]) == F.col("_drop"), "left_anti")
+    return docs.join(drop, row_key(docs["doc_id"].cast("long"), docs["text"]) == drop["_drop"], "left_anti")

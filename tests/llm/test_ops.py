@@ -454,6 +454,13 @@ def test_pipeline_stages(spark):
     for f in (c.toxicity, c.ngram_jaccard, c.suffix_array, c.decontamination):
         assert f(spark, docs, sf).schema.names == docs.columns
         assert f(spark, docs.limit(0), sf).count() == 0
+        clash = docs.limit(20).withColumns({x: F.lit("7") for x in ("score", "_drop", "_bad", "kept", "spans", "n_bytes", "row_key", "data", "_in3", "places")})
+        out = f(spark, clash, sf)
+        assert out.columns == clash.columns and all(r.score == r.kept == r._drop == r._in3 == "7" for r in out.collect())
+    nulls = docs.limit(0).union(spark.createDataFrame([(None, None, None, None, None), (1, None, "en", None, 3), (None, "", None, "s", None), (2, "a b", None, None, None)], docs.schema))
+    for f in (c.toxicity, c.ngram_jaccard, c.suffix_array, c.decontamination):
+        assert f(spark, nulls, sf).count() == 4
+    assert c.mixing(spark, nulls, sf).count() == 4
     assert c.run(spark, sf).columns == ["doc_id", "size", "source_size", "target", "taken"]
 
 
