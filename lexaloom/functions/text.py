@@ -121,13 +121,16 @@ def number_classes(text: Column) -> Column:
 
 def strip_determiners(tokens: Column) -> Column:
     """Tokens without determiners; one before a punctuation mark stays."""
-    return F.filter(tokens, lambda t, i: ~F.lower(t).isin(DETERMINERS) | F.coalesce(F.try_element_at(tokens, i + 2).isin(CLOSING), F.lit(False)))
+    return let(tokens, lambda ts: F.filter(ts, lambda t, i: ~F.lower(t).isin(DETERMINERS) | F.coalesce(F.try_element_at(ts, i + 2).isin(CLOSING), F.lit(False))))
 
 
 def strip_adjectives(tagged: Column) -> Column:
     """array<struct<token, tag>> without runs of JJ that a noun follows; a run at the end goes too."""
-    kept = F.filter(tagged, lambda t, i: (t["tag"] != "JJ") | let(F.filter(F.slice(tagged, i + 1, F.size(tagged)), lambda u: u["tag"] != "JJ"), lambda rest: (F.size(rest) > 0) & ~F.try_element_at(rest, F.lit(1))["tag"].startswith("NN")))
-    return kept
+    def kept(ts: Column) -> Column:
+        rest = lambda i: F.filter(F.slice(ts, i + 1, F.size(ts)), lambda u: u["tag"] != "JJ")
+        return F.filter(ts, lambda t, i: (t["tag"] != "JJ") | let(rest(i), lambda r: (F.size(r) > 0) & ~F.try_element_at(r, F.lit(1))["tag"].startswith("NN")))
+
+    return let(tagged, kept)
 
 
 def plain_characters(text: Column) -> Column:
@@ -141,8 +144,7 @@ def plain_characters(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences of spaced tokens, each ending in ` .`; an unfinished last one is dropped."""
-    parts = F.split(text, r"\s[.?!]\s(?=[^a-z])")
-    kept = F.filter(parts, lambda s, i: (F.trim(s) != "") & ((i < F.size(parts) - 1) | s.endswith(".")))
+    kept = let(F.split(text, r"\s[.?!]\s(?=[^a-z])"), lambda parts: F.filter(parts, lambda s, i: (F.trim(s) != "") & ((i < F.size(parts) - 1) | s.endswith("."))))
     return F.transform(kept, lambda s: F.when(s.endswith("."), s).otherwise(F.concat(s, F.lit(" ."))))
 
 
@@ -238,10 +240,12 @@ def label_of_uri(uri: Column) -> Column:
 
 def person_labels(label: Column) -> Column:
     """All ordered sub-combinations of a name's words (of the first ten words)."""
-    parts = F.slice(words(label), 1, 10)
-    masks = F.sequence(F.lit(1), F.greatest(F.shiftleft(F.lit(1), 10) - 1, F.lit(1)))
-    used = F.filter(masks, lambda m: m < F.pow(F.lit(2), F.size(parts)))
-    return F.array_distinct(F.transform(used, lambda m: F.array_join(F.filter(parts, lambda w, i: F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2)) == 1), " ")))
+
+    def made(parts: Column) -> Column:
+        used = F.filter(F.sequence(F.lit(1), F.lit(1023)), lambda m: m < F.pow(F.lit(2), F.size(parts)))
+        return F.array_distinct(F.transform(used, lambda m: F.array_join(F.filter(parts, lambda w, i: F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2)) == 1), " ")))
+
+    return let(F.slice(words(label), 1, 10), made)
 
 
 def label_variant(label: Column, *, lower: bool = False, spaces: bool = True) -> Column:
