@@ -403,9 +403,10 @@ TYPO = f"""{KB}, ty AS (SELECT uri, general AS type FROM kb), tp AS MATERIALIZED
     FROM (SELECT string_split(ngram, ' ') AS w, cnt, unnest(range(1, n + 1)) AS i FROM tg WHERE cnt >= 2) JOIN ty ON w[i] = '<dbpedia:' || uri || '>' GROUP BY 1, 2)"""
 
 
-def typograms_table(spark: SparkSession, sf: str) -> DataFrame:
+def typograms_table(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
+    found = found if found is not None else greedy(spark, sf)
     kb = knowledge_base(anchor_table(spark, sf))
-    return checkpointed(typed.typed_patterns(typed.linked_ngrams(sentences(spark, sf), greedy(spark, sf)), typed.type_at(kb), 2))
+    return checkpointed(typed.typed_patterns(typed.linked_ngrams(sentences(spark, sf), found), typed.type_at(kb), 2))
 
 
 @query(f"WITH RECURSIVE {GREEDY}, {LINKED}, {TYPO} SELECT pattern, type, cnt FROM tp")
@@ -473,8 +474,9 @@ PRUNE = "pc AS MATERIALIZED (SELECT doc_id, mention_id, mention, uri, cnt FROM (
 PRIOR = "pl AS MATERIALIZED (SELECT doc_id, mention_id, min(uri) AS uri FROM (SELECT *, max(cnt) OVER (PARTITION BY doc_id, mention_id) AS m FROM pc) WHERE cnt = m GROUP BY 1, 2)"
 
 
-def mentions(spark: SparkSession, sf: str) -> DataFrame:
-    return greedy(spark, sf).select(F.col("sent_id").alias("doc_id"), F.col("start").cast("long").alias("mention_id"), F.col("label").alias("mention"), F.when(F.col("label").rlike("^[A-Z]"), F.lit("<dbpedia:Person>")).alias("ner_type"))
+def mentions(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
+    found = found if found is not None else greedy(spark, sf)
+    return found.select(F.col("sent_id").alias("doc_id"), F.col("start").cast("long").alias("mention_id"), F.col("label").alias("mention"), F.when(F.col("label").rlike("^[A-Z]"), F.lit("<dbpedia:Person>")).alias("ner_type"))
 
 
 def found_candidates(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
@@ -509,10 +511,12 @@ CXM = "mt AS (SELECT split_part(context_id, ':', 1) AS doc_id, CAST(split_part(c
     f AS (SELECT doc_id, mention_id, arg_min(uri, k) AS uri FROM r WHERE n > 1 AND p > 0.9 GROUP BY 1, 2)
     SELECT pl.doc_id, pl.mention_id, coalesce(f.uri, pl.uri) AS uri FROM pl LEFT JOIN f USING (doc_id, mention_id)""")
 def typed_link(spark, sf):
-    probs = typed.pattern_probabilities(contexts(spark, sf), typograms_table(spark, sf))
+    g = greedy(spark, sf)
+    probs = typed.pattern_probabilities(contexts(spark, sf), typograms_table(spark, sf, g))
     at = F.split("context_id", ":")
     kinds = probs.select(at[0].alias("doc_id"), (at[1].cast("long") - 1).alias("mention_id"), "type", "prob")
-    return linking.typed_links(linking.pruned(found_candidates(spark, sf)), typed.type_at(knowledge_base(anchor_table(spark, sf))), kinds)
+    found = checkpointed(linking.pruned(found_candidates(spark, sf, mentions(spark, sf, g))))
+    return linking.typed_links(found, typed.type_at(knowledge_base(anchor_table(spark, sf))), kinds)
 
 
 @query(f"WITH RECURSIVE {GREEDY}, {MENT}, s AS (SELECT DISTINCT doc_id, mention FROM me) SELECT a.doc_id, a.mention, b.mention AS within FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.mention <> b.mention AND contains(b.mention, a.mention)")
@@ -544,8 +548,8 @@ def closeness_pruning(spark, sf):
 TRUTH = "tr AS (SELECT doc_id, mention_id, CASE WHEN mention_id % 7 = 0 THEN NULL ELSE first_uri END AS true_uri, mention_id % 5 <> 0 AS exists_ FROM (SELECT doc_id, mention_id, min(uri) AS first_uri FROM ca GROUP BY 1, 2))"
 
 
-def truth(spark: SparkSession, sf: str) -> DataFrame:
-    t = found_candidates(spark, sf).groupBy("doc_id", "mention_id").agg(F.min("uri").alias("uri"))
+def truth(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    t = found_candidates(spark, sf, of).groupBy("doc_id", "mention_id").agg(F.min("uri").alias("uri"))
     return t.select("doc_id", "mention_id", F.when(F.col("mention_id") % 7 != 0, F.col("uri")).alias("uri"), (F.col("mention_id") % 5 != 0).alias("exists"))
 
 
@@ -554,18 +558,21 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
           FROM tr LEFT JOIN (SELECT * FROM pl WHERE mention_id % 3 <> 0) pl USING (doc_id, mention_id))
     SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM c""")
 def link_metrics(spark, sf):
-    predicted = linking.prior_links(linking.pruned(found_candidates(spark, sf))).where("mention_id % 3 <> 0")
-    m = evaluate.link_metrics(evaluate.judged(truth(spark, sf), predicted, linking.MENTION))
+    of = mentions(spark, sf)
+    predicted = linking.prior_links(linking.pruned(found_candidates(spark, sf, of))).where("mention_id % 3 <> 0")
+    m = evaluate.link_metrics(evaluate.judged(truth(spark, sf, of), predicted, linking.MENTION))
     return m.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query()
 def candidate_features(spark, sf):
-    found = checkpointed(linking.pruned(found_candidates(spark, sf)))
+    g = greedy(spark, sf)
+    m = mentions(spark, sf, g)
+    found = checkpointed(linking.pruned(found_candidates(spark, sf, m)))
     graph = found.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "mention_id").orderBy(F.desc("cnt"), "uri")) - 1)
     at = F.split("context_id", ":")
-    probs = typed.pattern_probabilities(contexts(spark, sf), typograms_table(spark, sf)).select(at[0].alias("doc_id"), (at[1].cast("long") - 1).alias("mention_id"), "type", "prob")
-    f = features.candidate_features(found, graph, knowledge_base(anchor_table(spark, sf)), probs, truth(spark, sf).withColumnRenamed("uri", "true_uri"), mentions(spark, sf))
+    probs = typed.pattern_probabilities(contexts(spark, sf), typograms_table(spark, sf, g)).select(at[0].alias("doc_id"), (at[1].cast("long") - 1).alias("mention_id"), "type", "prob")
+    f = features.candidate_features(found, graph, knowledge_base(anchor_table(spark, sf)), probs, truth(spark, sf, m).withColumnRenamed("uri", "true_uri"), m)
     return features.merged_features(f)
 
 
