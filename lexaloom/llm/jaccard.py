@@ -512,7 +512,11 @@ def similar_components(docs: DataFrame, *, part_bytes: int = PART_BYTES, limit:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their component, with all their columns; wordless rows stay."""
+    """The rows of docs that are the first of their component, with all their columns.
+
+    The first has the component's smallest id. Wordless rows stay, so do rows that repeat the first one, and all rows of a
+    component without any id; rows without an id go where another has one.
+    """
     found = similar_components(docs)
     drop = found.where("n_shingles > 0 AND component_id IS NOT NULL AND (doc_id IS NULL OR doc_id <> component_id)").select(F.col("row_key").alias("_drop")).distinct()
     return docs.join(drop, row_key(docs["doc_id"].cast("long"), docs["text"]) == drop["_drop"], "left_anti")
