@@ -55,11 +55,11 @@ def tokens(data: bytes | None) -> set[bytes]:
 
 
 def word_features(word: bytes) -> tuple[int, int]:
-    return xxhash.xxh3_64_intdigest(word) >> 1, xxhash.xxh3_64_intdigest(b"^" + word[:PREFIX]) >> 1
+    return xxhash.xxh32_intdigest(word), xxhash.xxh32_intdigest(b"^" + word[:PREFIX])
 
 
 def text_features(words: set[bytes]) -> np.ndarray:
-    return np.unique(np.array([f for w in words for f in word_features(w)], np.int64))
+    return np.unique(np.array([f for w in words for f in word_features(w)], np.uint32))
 
 
 def swapped(words: set[bytes]) -> set[bytes] | None:
@@ -105,6 +105,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], *, l2: float = 1e
         return ToxicityModel(bias=30.0 if rate else -30.0)
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     names, ids = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    ids = ids.astype(np.int32)
     df, pos = np.bincount(ids, minlength=len(names)), np.bincount(ids[y[row] == 1], minlength=len(names))
     some = np.flatnonzero(df >= 3)
     n, n1 = len(y), y.sum()
@@ -125,8 +126,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], *, l2: float = 1e
     del ids, row, names
     pairs = [(k, x) for k, x in enumerate(rows) if x[1] is not None]
     changes = [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for _, (a, b, _) in pairs]
-    plus = compact(np.repeat(np.arange(len(pairs)), [len(a) for a, _ in changes]), np.concatenate([a for a, _ in changes] or [np.empty(0, np.int64)]))
-    minus = compact(np.repeat(np.arange(len(pairs)), [len(b) for _, b in changes]), np.concatenate([b for _, b in changes] or [np.empty(0, np.int64)]))
+    plus = compact(np.repeat(np.arange(len(pairs)), [len(a) for a, _ in changes]), np.concatenate([a for a, _ in changes] or [np.empty(0, np.uint32)]))
+    minus = compact(np.repeat(np.arange(len(pairs)), [len(b) for _, b in changes]), np.concatenate([b for _, b in changes] or [np.empty(0, np.uint32)]))
     w, b = np.zeros(len(kept)), float(np.log(rate / (1 - rate)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -165,8 +166,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     small_batches(docs.sparkSession)
-    got = labelled_features(docs, labels, sample).toArrow()
-    rows = [(np.frombuffer(f, np.int64), None if s is None else np.frombuffer(s, np.int64), int(t > 0)) for f, s, t in zip(*[c.to_pylist() for c in got.columns], strict=True)]
+    columns = [c.to_pylist() for c in labelled_features(docs, labels, sample).toArrow().columns]
+    rows = [(np.frombuffer(f, np.uint32), None if s is None else np.frombuffer(s, np.uint32), int(t > 0)) for f, s, t in zip(*columns, strict=True)]
     return fit(sorted(rows, key=lambda r: (r[2], r[0].tobytes())))
 
 
