@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import small_batches, stored, utf8
 from .decontam import bit_places, bit_table, row_key
 
 LENGTH, ANCHOR = 200, 64
@@ -366,6 +366,7 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, with_t
 
     Texts that have no marks, by a bit table of fixed size, are not shuffled.
     """
+    small_batches(docs.sparkSession)
     marks = stored(repeated_marks(docs, **options).groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("places")), "marks")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(marks.select(F.col("row_key").alias("hash"))))  # 1.5 MB
     kinds = dict(docs.dtypes)
