@@ -4,7 +4,8 @@
    pair shares SPARE of its shingles there, so a set with fewer shared ones has no link.
 2. Two of those left that share a list of at most LONG sets are a pair; pairs of unlike sizes, and those
    whose parity bit maps differ in more bits than a link allows, are dropped. Sets with so many shingles in
-   longer lists that a link could hide there are joined through those lists, too. This makes families.
+   longer lists that a link could hide there are joined through those lists, too, by way of each list's least
+   sets, whatever these are. This makes families.
 3. Within a family a T-occurrence search gives the links: with DivideSkip, short lists are merged by
    counting, long ones probed for the candidates that could still reach the required overlap.
    Sets that link to the family's pivot are one component already, so only the others search.
@@ -185,6 +186,7 @@ def split_lists(key: np.ndarray, node: np.ndarray, n: np.ndarray, hot: np.ndarra
     much = marked | (sizes > long)
     short = ~much & (sizes > 1)
     a, b, c, _, _ = star_edges(key[much], node[much], bands(n[much]))
+    c[a != b] = 1  # tells the edges between batches from those within one
     for k in range(0, len(a), 500_000):
         yield listed_rows(**{x: pa.array(y[k : k + 500_000]) for x, y in (("a", a), ("b", b), ("c", c))})
     key, node, n = key[short].astype(np.int64), node[short], n[short].astype(np.int64)
@@ -481,6 +483,22 @@ def family_search(docs: DataFrame, members: DataFrame, limit: int = GROUP_SHINGL
     return links.union(held.where("linked AND cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))).union(search(blocks))
 
 
+def long_list_edges(through: DataFrame, deep: DataFrame) -> DataFrame:
+    """a, b: edges that join the deep sets of a long list, within and across batches.
+
+    through(a, b, c): b stands in a list with its least set a, of a batch (c = 0) or of all batches (c = 1). The least sets
+    needn't be deep, so names of their own stand for them, which no set has.
+    """
+    through = through.select("a", "b", "c").distinct()
+    name = lambda node, c: F.xxhash64(node, F.lit("head"), c)
+    heads = through.select(F.col("a").alias("node"), F.col("c").cast("int").alias("c")).distinct()
+    joined = through.select(name(F.col("a"), F.col("c").cast("int")).alias("a"), F.col("b").alias("node"), "c")
+    batch = heads.where("c = 0").select("node", name(F.col("node"), F.lit(0)).alias("b"))
+    own = heads.join(deep, "node").select(name(F.col("node"), F.col("c")).alias("a"), F.col("node").alias("b"))
+    up = heads.where("c = 1").join(batch, "node").select(name(F.col("node"), F.lit(1)).alias("a"), "b")
+    return joined.join(deep, "node").select("a", F.col("node").alias("b")).union(joined.where("c = 1").join(batch, "node").select("a", "b")).union(own).union(up)
+
+
 def similar_components(docs: DataFrame, *, part_bytes: int = PART_BYTES, limit: int = GROUP_SHINGLES, long: int = LONG) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id for every row of docs(doc_id, text)."""
     small_batches(docs.sparkSession)
@@ -497,11 +515,7 @@ def similar_components(docs: DataFrame, *, part_bytes: int = PART_BYTES, limit:
     found = candidate_pairs(lists, bit_table(alive.select(F.col("node").alias("hash"))), parts).distinct()
     near = likely_pairs(found, alive.select("node", "parity"))
 
-    deep = alive.where("deep").select(F.col("node").alias("b"))
-    star = through.where("a <> b").select("a", "b").distinct().join(deep, "b")
-    centre = star.groupBy("a").agg(F.min("b").alias("m"))
-    heads = through.where("a <> b").select("a").distinct().join(deep.select(F.col("b").alias("a")), "a")  # a list's least set may be one of them itself
-    star = star.join(centre, "a").select(F.col("m").alias("a"), "b").union(heads.join(centre, "a").select(F.col("m").alias("a"), F.col("a").alias("b")))
+    star = long_list_edges(through.where("a <> b"), alive.where("deep").select("node"))
     fams = connected_components(near.union(star))
     members = fams.join(alive, "node").select(F.col("root").alias("fam"), F.col("node").alias("cls"), "n", "shared", "row_key")
     comps = connected_components(family_search(docs, stored(members, "members"), limit))

@@ -490,3 +490,16 @@ def test_jaccard_common_passage(spark):
     for options in ({}, {"long": 8}, {"long": 8, "limit": 500}):
         got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_components(docs_of(spark, texts), **options).collect()}
         assert got == brute_components(texts)
+
+
+def test_jaccard_common_passages_across_batches(spark):
+    r, words = random.Random(10), vocabulary(5000)
+    say = lambda n: [r.choice(words) for _ in range(n)]
+    passages = [say(50) for _ in range(20)]
+    texts = [" ".join(passages[k % 20] + say(950)) for k in range(240)]  # each batch has each passage in six texts that hold no other
+    for at, order in ((10, passages), (230, passages[::-1])):  # two of all passages, in different batches, least in none of their lists
+        texts[at] = " ".join(w for p in order for w in p)
+    want = brute_components(texts)
+    assert want[10][1] == want[230][1] == 10
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_components(docs_of(spark, texts).repartitionByRange(2, "doc_id"), long=3).collect()}
+    assert got == want
