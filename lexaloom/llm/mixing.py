@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot k gets the golden-ratio point frac(k * phi) and with it, through the cumulative targets, a
-source; slots are ranked within their source. A source's texts, in hash order, form one run of words
-that is cut into blocks of equal length; slot r of a source takes its block r modulo the number of
-blocks, so that a source larger than its target is sampled and a smaller one repeats. What a document
-gives is its overlap with the blocks taken.
+A source's texts, in hash order, form one run of words that is cut into equal blocks: as long as a slot
+of the whole schedule, or shorter, so that a source of FINE words has FINE blocks at least. A source gets
+as many slots as its target holds blocks, spread evenly from a phase frac((source + 1) * phi) of the golden
+ratio; slot r of a source takes its block r modulo the number of blocks, so that a source larger than its
+target is sampled and a smaller one repeats. What a document gives is its overlap with the blocks taken.
+Each source comes within half a block of its target, whatever the total and the number of sources.
 
 A source of any size is laid out in parallel: buckets of a hash are summed first, and each bucket
 starts where those before it end.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 SLOTS = 1 << 17
+FINE = 256
 LIMIT = 3
 BUCKETS = 4096
 #: frac(k * phi) in steps of 2^-32.
@@ -59,14 +61,17 @@ def target_table(sizes: DataFrame) -> DataFrame:
     return s.withColumn("hi", hi).withColumn("_total", total).withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0))).select("source", "source_size", "weight", "target", "lo", "hi", F.col("_total").alias("total"))
 
 
-def schedule(spark, spans: list[tuple[int, float, int]], n_slots: int) -> DataFrame:
-    """slot, sid, rank: spans are (sid, end of the source's span, most slots it may have) in order, sid counting from 0."""
-    point = (F.col("id") * STEP) % CYCLE / float(CYCLE)
-    ends, most = F.array(*[F.lit(float(hi)) for _, hi, _ in spans[:-1]] or [F.lit(2.0)]), F.array(*[F.lit(m).cast("long") for _, _, m in spans] or [F.lit(0).cast("long")])
-    sid = F.size(F.filter(ends, lambda hi: hi <= F.col("point")))
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("point")).withColumn("sid", sid)
-    ranked = slots.withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1)
-    return ranked.where(F.col("rank") < F.element_at(most, F.col("sid") + 1)).select("slot", "sid", "rank")
+def blocks_and_takes(source_size: int, target: float, block: int) -> tuple[int, int]:
+    """The equal blocks of a source, of block words or fewer, and how many it gives to come within half a block of its target."""
+    n = max(1, min(source_size, max(-(-source_size // block), FINE)))
+    return n, min(LIMIT * n, round(target * n / source_size)) if source_size else 0
+
+
+def schedule(names: DataFrame) -> DataFrame:
+    """place (0 to 1, the order of the slots), sid, rank for names(sid, takes): a source's slots are a takes-th apart, and in any first part of the schedule it has its share but for one."""
+    phase = ((F.col("sid") + 1) * STEP) % CYCLE / float(CYCLE)
+    slots = names.where("takes > 0").select("sid", "takes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("takes") - 1)).alias("rank"))
+    return slots.select(((F.col("rank") + phase) / F.col("takes")).alias("place"), "sid", "rank")
 
 
 def mix(docs: DataFrame, *, n_slots: int = SLOTS, seed: int = 0) -> DataFrame:
@@ -77,8 +82,7 @@ def mix(docs: DataFrame, *, n_slots: int = SLOTS, seed: int = 0) -> DataFrame:
     sources = [r.asDict() for r in target_table(sized).orderBy(F.col("source").asc_nulls_last()).collect()]  # one row a source
     total = sources[0]["total"] if sources else 0
     block = max(1, -(-total // n_slots))
-    spans = [(k, s["hi"], LIMIT * -(-s["source_size"] // block)) for k, s in enumerate(sources)]
-    names = spark.createDataFrame([(k, s["source"], s["source_size"], s["target"], max(1, -(-s["source_size"] // block))) for k, s in enumerate(sources)], "sid int, source string, source_size long, target double, n_blocks long")
+    names = spark.createDataFrame([(k, s["source"], s["source_size"], s["target"], *blocks_and_takes(s["source_size"], s["target"], block)) for k, s in enumerate(sources)], "sid long, source string, source_size long, target double, n_blocks long, takes long")
 
     bucket = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
     placed = sized.join(names.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("bucket", bucket)
@@ -88,9 +92,9 @@ def mix(docs: DataFrame, *, n_slots: int = SLOTS, seed: int = 0) -> DataFrame:
     run = placed.withColumn("rn", F.row_number().over(w)).withColumn("_before", F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     run = run.join(starts, ["sid", "bucket"]).withColumn("start", F.col("_base") + F.col("_before"))
 
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = run.select("sid", "bucket", "rn", "doc_id", "size", "source_size", "target", "start", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))).alias("block"))
-    times = schedule(spark, spans, max(1, -(-total // block))).join(names.select("sid", "n_blocks"), "sid").groupBy("sid", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    first, last = F.expr("((start + 1) * n_blocks - 1) div source_size"), F.expr("((start + size) * n_blocks - 1) div source_size")
+    pieces = run.select("sid", "bucket", "rn", "doc_id", "size", "source_size", "target", "n_blocks", "start", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))).alias("block"))
+    times = schedule(names).join(names.select("sid", "n_blocks"), "sid").groupBy("sid", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
+    overlap = F.least(F.col("start") + F.col("size"), F.expr("(block + 1) * source_size div n_blocks")) - F.greatest(F.col("start"), F.expr("block * source_size div n_blocks"))
     taken = F.coalesce(F.sum(overlap * F.col("times")), F.lit(0)).cast("long")
     return pieces.join(times, ["sid", "block"], "left").groupBy("sid", "bucket", "rn", "doc_id", "size", "source_size", "target").agg(taken.alias("taken")).select("doc_id", "size", "source_size", "target", "taken")

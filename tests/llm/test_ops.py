@@ -503,3 +503,17 @@ def test_jaccard_common_passages_across_batches(spark):
     assert want[10][1] == want[230][1] == 10
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_components(docs_of(spark, texts).repartitionByRange(2, "doc_id"), long=3).collect()}
     assert got == want
+
+
+def test_mixing_small_sources_reach_their_targets(spark):
+    sizes = {"a": [5000] * 40, "b": [70] * 3, "c": [1], "d": [40] * 25, "e": [], "f": [3, 0, 4]} | {f"g{k:02}": [k + 1] for k in range(40)}
+    rows = [(f"{s}-{k}", " ".join(["w"] * n), s) for s, texts in sizes.items() for k, n in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, s) for i, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    for slots in (16, 1000, mixing.SLOTS):  # fewer slots than sources, too
+        taken, target, size = {}, {}, {}
+        for g in mixing.mix(docs, n_slots=slots).collect():
+            s = rows[g.doc_id][2]
+            assert 0 <= g.taken <= 3 * g.size
+            taken[s], target[s], size[s] = taken.get(s, 0) + g.taken, g.target, g.source_size
+        for s in target:
+            assert abs(taken[s] - target[s]) <= max(1, size[s] / 256), s
