@@ -10,7 +10,7 @@ thins the documents' windows before the shuffle; with a benchmark of any size it
 
 Defined results: null, empty and short texts (below the shortest mask) overlap with nothing; rows
 that repeat are judged each and reported once; null ids are reported as null; an item that is shorter
-than WINDOW must match in the same share of its own length; an empty benchmark gives an empty result;
+than WINDOW must match in the same share of its own length, one of five words whole; an empty benchmark gives an empty result;
 other columns are ignored.
 """
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, stored
 
-#: Positions that count, of weight 6; a window of 13 words with up to three words changed keeps a seed nearly always.
-MASKS = ("111111", "110110011", "11001011001", "1010110101")
+#: Positions that count, of weight 5. A stretch of 6 to 13 words keeps a seed under any changes that leave the share that confirms it.
+MASKS = ("11111", "101111", "110111", "111011", "111101", "11100011")
 WINDOW, MATCHES = 13, 10
 REACH = 16
 BITS = 22

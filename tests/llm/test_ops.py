@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -517,3 +518,17 @@ def test_mixing_small_sources_reach_their_targets(spark):
             taken[s], target[s], size[s] = taken.get(s, 0) + g.taken, g.target, g.source_size
         for s in target:
             assert abs(taken[s] - target[s]) <= max(1, size[s] / 256), s
+
+
+def test_every_confirmed_overlap_has_a_seed():
+    words = np.arange(1, 14).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for n in range(6, 14):
+        item = words[:n]
+        listed = decontam.seeds(item)
+        least = -(-decontam.MATCHES * n // decontam.WINDOW)
+        for k in range(n - least + 1):
+            for at in itertools.combinations(range(n), k):
+                text = item.copy()
+                text[list(at)] += np.uint64(1)
+                assert decontam.overlap(text, item, 0)[2]
+                assert any((a == b).any() for a, b in zip(decontam.seeds(text), listed, strict=True)), (n, at)
