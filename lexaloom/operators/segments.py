@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +27,40 @@ def segment_scores(phrases: DataFrame, counts: DataFrame, wiki: DataFrame) -> Da
 
 
 def ranked_segmentations(tweets: DataFrame, counts: DataFrame, wiki: DataFrame, *, key: str = "tweet_id", text: str = "text", most_words: int = 10) -> DataFrame:
-    """key, segments, score, rank of every segmentation of tweets of up to most_words words (others have none)."""
-    cut = tweets.select(key, F.explode(segmentations(words(F.lower(text)), most_words=most_words)).alias("segments"))
-    scores = segment_scores(cut.select(F.explode("segments").alias("phrase")), counts, wiki).select(F.col("phrase").alias("segment"), "stickiness")
+    """key, segments, score, rank of every segmentation of tweets of up to most_words words, and of the best one of longer
+    tweets, whose segmentations double with every word."""
+    tokens = tweets.select(key, words(F.lower(text)).alias("w"))
+    cut = tokens.select(key, F.explode(segmentations(F.col("w"), most_words=most_words)).alias("segments"))
+    spans = tokens.where(F.size("w") > most_words).distinct().select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).select(key, "w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(5), F.size("w") - F.col("i") + 1))).alias("k")).withColumn("segment", F.array_join(F.slice("w", F.col("i"), F.col("k")), " "))
+    scores = segment_scores(cut.select(F.explode("segments").alias("phrase")).union(spans.select("segment")), counts, wiki).select(F.col("phrase").alias("segment"), "stickiness")
     parts = cut.withColumn("sid", F.xxhash64("segments")).select(key, "sid", "segments", F.explode("segments").alias("segment"))
     total = parts.join(scores, "segment").groupBy(key, "sid").agg(F.first("segments").alias("segments"), F.sum("stickiness").alias("score"))
+    listed = spans.join(scores, "segment").groupBy(key, "w").agg(F.collect_list(F.struct("i", "k", F.coalesce("stickiness", F.lit(0.0)).alias("s"))).alias("parts"))
+    best = listed.select(key, "w", "parts").mapInArrow(_best_segmentations, f"{key} {dict(tweets.dtypes)[key]}, segments array<string>, score double")
+    total = total.select(key, "segments", "score").union(best)
     w = Window.partitionBy(key).orderBy(F.desc("score"), F.array_join("segments", "/"))
     return total.select(key, "segments", "score", (F.row_number().over(w) - 1).cast("long").alias("rank"))
 
 
+def _best_segmentations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best cut of each text's words: none but the last part of five words, ties to the least text as in the ranking."""
+    for b in batches:
+        segments, scores = [], []
+        for w, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            score = {(p["i"] - 1, p["k"]): p["s"] for p in parts}
+            best = [(0.0, "", ())]  # of the first words: score (negative), joined parts, parts
+            for end in range(1, len(w) + 1):
+                ways = []
+                for k in range(1, min(end, 5 if end == len(w) else 4) + 1):
+                    s, joined, before = best[end - k]
+                    part = " ".join(w[end - k : end])
+                    ways.append((s - score[end - k, k], f"{joined}/{part}", (*before, part)))
+                best.append(min(ways))
+            segments.append(list(best[-1][2]))
+            scores.append(-best[-1][0])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(segments, pa.list_(pa.string())), pa.array(scores, pa.float64())], names=[b.schema.names[0], "segments", "score"])
+
+
 def segment_tweets(segmented: DataFrame, key: str = "tweet_id") -> DataFrame:
     """segment, key: which tweets have which segment, once each."""
     return segmented.select(F.explode("segments").alias("segment"), key).distinct()

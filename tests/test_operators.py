@@ -304,3 +304,14 @@ def test_services(spark):
     assert '"name":"Person"' in services.context_types(c, p).first().json
     a = services.annotate(spark.createDataFrame([(1, "in New York and New York")], "doc_id int, text string"), spark.createDataFrame([("New York", "NY")], "label string, uri string"))
     assert rows(a) == [(1, "New York", 16, 24, "NY"), (1, "New York", 3, 11, "NY")]
+
+
+def test_long_texts_have_their_best_segmentation(spark):
+    texts = ["a b c d e f g h i", "b a c a b d d c a", "x y z x y z x y", "a b c d e", "u v"]
+    w = "a b c d e f g h i".split()
+    grams = [(" ".join(w[i : i + k]), 1000 * (10 - k) + 37 * i) for k in (1, 2, 3, 4) for i in range(len(w) - k + 1)] + [("d d c", 900), ("x y", 50), ("b a", 70)]
+    counts = spark.createDataFrame(grams, "ngram string, cnt long")
+    wiki = spark.createDataFrame([("c d e", 0.9), ("a b", 0.4), ("x y z", 0.5), ("f g h i", 0.7)], "phrase string, prob double")
+    tweets = spark.createDataFrame(list(enumerate(texts)), "tweet_id long, text string")
+    best = lambda most: {r.tweet_id: (r.segments, round(r.score, 9)) for r in segments.ranked_segmentations(tweets, counts, wiki, most_words=most).where("rank = 0").collect()}
+    assert best(4) == best(9) and len(best(4)) == 5
