@@ -86,15 +86,14 @@ ORACLES: dict[str, str] = {
                      (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor FROM a),
         c AS (SELECT *, max(factor) FILTER (ratio > factor) OVER () AS level FROM b),
         t AS (SELECT *, CASE WHEN ratio <= factor THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM c),
-        u AS (SELECT *, sum(target) OVER (ORDER BY k) / total AS hi, greatest(1, (total + 131071) // 131072) AS block FROM t),
-        v AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY k), 0) AS lo, k = max(k) OVER () AS is_last, greatest(1, (source_size + block - 1) // block) AS n_blocks FROM u),
-        slots AS (SELECT i, (CAST(i AS BIGINT) * 2654435769 % 4294967296) / 4294967296.0::DOUBLE AS point FROM range((SELECT CAST((total + block - 1) // block AS BIGINT) FROM v LIMIT 1)) r(i)),
-        ranked AS (SELECT k, n_blocks, source_size, block, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS r FROM slots JOIN v ON point >= lo AND (point < hi OR is_last)),
-        times AS (SELECT k, r % n_blocks AS b, count(*) AS times FROM ranked WHERE r < 3 * ((source_size + block - 1) // block) GROUP BY 1, 2),
-        e AS (SELECT d.*, v.k, v.source_size, v.target, v.block, sum(size) OVER (PARTITION BY v.k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
-        x AS (SELECT *, unnest(CASE WHEN size > 0 THEN range(CAST(start // block AS BIGINT), CAST((start + size - 1) // block + 1 AS BIGINT)) ELSE [-1] END) AS b FROM e)
-        SELECT doc_id, size, source_size, target, CAST(coalesce(sum((least(start + size, (x.b + 1) * block) - greatest(start, x.b * block)) * times), 0) AS BIGINT) AS taken
-        FROM x LEFT JOIN times ON times.k = x.k AND times.b = x.b GROUP BY doc_id, size, source_size, target, start, h""",
+        u AS (SELECT *, greatest(1, (total + 131071) // 131072) AS block FROM t),
+        v AS (SELECT *, greatest(1, least(source_size, greatest((source_size + block - 1) // block, 256))) AS n_blocks FROM u),
+        z AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(3 * n_blocks, floor(target * n_blocks / source_size + 0.5)) AS BIGINT) ELSE 0 END AS takes FROM v),
+        e AS (SELECT d.*, z.source_size, z.target, z.n_blocks, z.takes, CAST(sum(size) OVER (PARTITION BY z.k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source),
+        x AS (SELECT *, unnest(CASE WHEN size > 0 THEN range(((start + 1) * n_blocks - 1) // source_size, ((start + size) * n_blocks - 1) // source_size + 1) ELSE [-1] END) AS b FROM e)
+        SELECT doc_id, size, source_size, target, CAST(coalesce(sum(CASE WHEN b >= 0 THEN
+            (least(start + size, (b + 1) * source_size // n_blocks) - greatest(start, b * source_size // n_blocks)) * (takes // n_blocks + CASE WHEN b < takes % n_blocks THEN 1 ELSE 0 END) END), 0) AS BIGINT) AS taken
+        FROM x GROUP BY doc_id, size, source_size, target, start, h""",
     "op4_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
         s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
