@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 OPEN, ROLE_END, CLOSE = "### ", ": ", "</turn>\n"
 _TEXT, _ROLE = re.compile(r"[\\#<]"), re.compile(r"[\\#<:]")
 _BACK = re.compile(r"\\(.)", re.S)
@@ -123,7 +125,7 @@ def reconstruct(events: DataFrame, trained: str = "assistant") -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema["s"])
 
     schema: dict = {}
-    return log.mapInArrow(run, f"conv_id {kind}, n_messages long, formatted string, loss_spans array<struct<start: bigint, end: bigint>>")
+    return log.mapInArrow(released(run), f"conv_id {kind}, n_messages long, formatted string, loss_spans array<struct<start: bigint, end: bigint>>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -144,7 +146,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(released(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def turn_events(turns: DataFrame) -> DataFrame:

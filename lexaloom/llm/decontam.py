@@ -5,8 +5,8 @@ benchmark's masked windows are joined with those of the documents; around each h
 on the document along the hit's diagonal, and a stretch of WINDOW words with at least MATCHES equal
 ones confirms the overlap.
 
-Words are runs of letters and digits, lower-cased. A fixed-size bit table of the benchmark's hashes
-thins the documents' windows before the shuffle; with a benchmark of any size it only passes more.
+Words are runs of letters and digits, lower-cased. A bit table of the benchmark's hashes, sized by their
+number up to 48 MB, thins the documents' windows before the shuffle; beyond that it only passes more.
 
 Defined results: null, empty and short texts (below the shortest mask) overlap with nothing; rows
 that repeat are judged each and reported once; null ids are reported as null; an item that is shorter
@@ -25,13 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, stored
+from .common import WordHashes, released, small_batches, stored
 
 #: Positions that count, of weight 5. A stretch of 6 to 13 words keeps a seed under any changes that leave the share that confirms it.
 MASKS = ("11111", "101111", "110111", "111011", "111101", "11100011")
 WINDOW, MATCHES = 13, 10
 REACH = 16
-BITS = 22
+#: A bit table has three parts of 2^LEAST_BITS to 2^MOST_BITS bits (1.5 to 48 MB in all), 12 bits a key while that is enough.
+LEAST_BITS, MOST_BITS = 20, 27
+PAGE = 4096
 
 _WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -58,10 +60,6 @@ def seeds(words: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def bit_places(h: np.ndarray) -> list[np.ndarray]:
-    return [(h >> np.uint64(s)) & np.uint64((1 << BITS) - 1) for s in (0, 21, 42)]
-
-
 def item_seeds(benchmark: DataFrame) -> DataFrame:
     """item_id, place, hash and, on the row of the first place, the item's words."""
 
@@ -77,20 +75,49 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int32()))], names=["item_id", "place", "hash", "item_words"])
 
-    return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, place long, hash long, item_words array<int>")
+    return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(released(run), "item_id long, place long, hash long, item_words array<int>")
+
+
+class BitTable:
+    """Three tables of bits, of sizes a power of two: a key that was put in has its bit in each."""
+
+    def __init__(self, data: bytes):
+        self.tables = np.frombuffer(data, np.uint8).reshape(3, -1)
+        self.mask = np.uint64(self.tables.shape[1] * 8 - 1)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """For each 64-bit key: false if it is none of those put in."""
+        keys = keys.view(np.uint64)
+        out = self._bit(0, keys)
+        some = np.flatnonzero(out)
+        out[some] = self._bit(1, keys[some]) & self._bit(2, keys[some])
+        return out
+
+    def _bit(self, k: int, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64((0, 19, 37)[k]) & self.mask
+        return (self.tables[k][at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def table_bits(keys: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (12 * max(1, keys) - 1).bit_length()))
 
 
 def bit_table(hashes: DataFrame) -> bytes:
-    """Three bit tables of 2^BITS bits (512 kB each), whatever the number of hashes; tasks send their tables, which are joined by OR."""
+    """A BitTable's data of hashes(hash). Tasks send the pages that they fill, which are joined by OR; with more keys than it is meant for it passes more, never less."""
+    bits = table_bits(hashes.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros((3, 1 << BITS), bool)
+        pages: dict[int, np.ndarray] = {}
         for b in batches:
-            for t, at in zip(bits, bit_places(b.column(0).to_numpy().view(np.uint64)), strict=True):
-                t[at] = True
-        packed = np.packbits(bits, axis=1).reshape(-1, 4096)
-        some = np.flatnonzero(packed.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([packed[k].tobytes() for k in some], pa.binary())], names=["page", "bits"])
+            h = b.column(0).to_numpy().view(np.uint64)
+            for k, shift in enumerate((0, 19, 37)):
+                at = np.unique(((h >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64) + (k << bits))
+                page, first = np.unique(at // (8 * PAGE), return_index=True)
+                for p, x in zip(page.tolist(), np.split(at % (8 * PAGE), first[1:]), strict=True):
+                    if p not in pages:
+                        pages[p] = np.zeros(PAGE, np.uint8)
+                    np.bitwise_or.at(pages[p], x >> 3, (1 << (x & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int64()), pa.array([x.tobytes() for x in pages.values()], pa.binary())], names=["page", "bits"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, held = None, None
@@ -106,8 +133,8 @@ def bit_table(hashes: DataFrame) -> bytes:
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["page", "bits"])
 
-    out = np.zeros((3 << BITS) // 8, np.uint8).reshape(-1, 4096)
-    for r in hashes.select("hash").mapInArrow(run, "page long, bits binary").repartition("page").sortWithinPartitions("page").mapInArrow(joined, "page long, bits binary").collect():
+    out = np.zeros((3 << bits) // 8, np.uint8).reshape(-1, PAGE)
+    for r in hashes.select("hash").mapInArrow(released(run), "page long, bits binary").repartition(8, "page").sortWithinPartitions("page").mapInArrow(released(joined), "page long, bits binary").collect():  # the table itself
         out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
     return out.tobytes()
 
@@ -119,24 +146,20 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 def hit_regions(docs: DataFrame, table: bytes) -> DataFrame:
     """Stretches of documents around windows whose hashes may be listed, with the hits in them."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # 1.5 MB
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # 48 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).reshape(3, -1)
-        memory = WordHashes()
+        bits, memory = BitTable(shared.value), WordHashes()
         for b in batches:
             rows = []
             for doc, key, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 w = word_hashes(text, memory)
                 places, hashes = [], []
                 for h in seeds(w):
-                    at = np.flatnonzero(bits[0][bit_places(h)[0]]) if len(h) else h[:0]
+                    at = np.flatnonzero(bits.may_hold(h))
                     if len(at):
-                        x = h[at]
-                        p = bit_places(x)
-                        ok = (bits[1][p[1]] & bits[2][p[2]]).astype(bool)
-                        places.append(at[ok])
-                        hashes.append(x[ok])
+                        places.append(at)
+                        hashes.append(h[at])
                 if not sum(map(len, places)):
                     continue
                 at, x = np.concatenate(places), np.concatenate(hashes)
@@ -149,7 +172,7 @@ def hit_regions(docs: DataFrame, table: bytes) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=REGIONS)
 
-    return docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text").mapInArrow(run, "region long, row_key long, doc_id long, first long, words array<int>, places array<bigint>, hashes array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text").mapInArrow(released(run), "region long, row_key long, doc_id long, first long, words array<int>, places array<bigint>, hashes array<bigint>")
 
 
 def overlap(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
@@ -169,7 +192,8 @@ def overlap(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int,
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, row_key, item_id, first_word, end_word, equal_words: the best confirmed overlap of each document and item."""
-    listed = item_seeds(benchmark)
+    small_batches(docs.sparkSession)
+    listed = stored(item_seeds(benchmark), "seeds")
     regions = stored(hit_regions(docs, bit_table(listed)), "regions")
     hits = regions.select("region", "first", F.explode(F.arrays_zip("places", "hashes")).alias("h")).select("region", F.col("h.hashes").alias("hash"), (F.col("h.places") - F.col("first")).alias("at"))
     laid = hits.join(listed.select("item_id", "place", "hash"), "hash").select("region", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
@@ -188,7 +212,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "row_key", "item_id", "first_word", "end_word", "equal_words"])
 
-    found = both.mapInArrow(run, "doc_id long, row_key long, item_id long, first_word long, end_word long, equal_words long")
+    found = both.mapInArrow(released(run), "doc_id long, row_key long, item_id long, first_word long, end_word long, equal_words long")
     best = F.max(F.struct("equal_words", (-F.col("first_word")).alias("_f"), F.col("end_word"))).alias("b")
     return found.groupBy("doc_id", "row_key", "item_id").agg(best).select("doc_id", "row_key", "item_id", (-F.col("b._f")).alias("first_word"), F.col("b.end_word").alias("end_word"), F.col("b.equal_words").alias("equal_words"))
 

@@ -6,10 +6,11 @@
    whose parity bit maps differ in more bits than a link allows, are dropped. Sets with so many shingles in
    longer lists that a link could hide there are joined through those lists, too, by way of each list's least
    sets, whatever these are. This makes families.
-3. Within a family a T-occurrence search gives the links: with DivideSkip, short lists are merged by
-   counting, long ones probed for the candidates that could still reach the required overlap.
+3. Within a family a T-occurrence search gives the links, with DivideSkip: short lists are merged by a heap
+   that skips what can't reach the required overlap, long ones probed by binary search for the candidates
+   left. Lists of the same sets are one list, which counts for as many shingles.
    Sets that link to the family's pivot are one component already, so only the others search.
-   A family that is too large for a task is searched in blocks, each query block against all blocks.
+   A family of over GROUP_SHINGLES is searched in blocks, each query block against all blocks.
 4. Components of the links, over classes of equal sets.
 
 Nothing is capped or sampled: every linked pair of different sets is found or implied by others. Equal
@@ -22,7 +23,9 @@ row of its component has one; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +34,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, small_batches, stored, utf8, words_of
+from .common import WordHashes, released, small_batches, stored, utf8, words_of
 from .components import connected_components
-from .decontam import bit_places, bit_table, row_key
+from .decontam import BitTable, bit_table, row_key
 
 SHINGLE, PERCENT, SPARE = 5, 75, 10  # a tenth of a set's shingles is asked of shared lists beyond one
-PART_BYTES = 50_000_000
-GROUP_SHINGLES = 4_000_000
+PART_BYTES = 20_000_000
+GROUP_SHINGLES = 1_000_000  # 8 MB
 LONG = 64
+PAIR_BYTES = 50_000_000  # of text for a part of the lists' pairs
+PAIRS = 4_000_000  # pairs that are sorted at once, 8 bytes each
+HEAP_STEP = 10.0  # the cost of a heap step in probes
 _K = np.uint64(0x9E3779B97F4A7C15)
 DOC = np.dtype([("node", "<i8"), ("doc_id", "<i8"), ("null", "?"), ("key", "<i8"), ("n", "<i8")])
 
@@ -133,7 +139,7 @@ def postings(docs: DataFrame, parts: int, long: int = LONG) -> DataFrame:
                             out.append((p, 0, b"".join((np.array([len(used), len(at)], np.int64).tobytes(), rows["node"][used].tobytes(), rows["n"][used].astype(np.int32).tobytes(), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (x >> np.uint64(32)).astype(np.uint8).tobytes(), own.astype(np.uint16).tobytes(), hot[at].tobytes()))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["part", "kind", "data"])
 
-    return docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), F.col("text")), "text").mapInArrow(run, "part int, kind int, data binary")
+    return docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), F.col("text")), "text").mapInArrow(released(run), "part int, kind int, data binary")
 
 
 def without_long(t: np.ndarray, o: np.ndarray, nodes: np.ndarray, n: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
@@ -187,11 +193,11 @@ def split_lists(key: np.ndarray, node: np.ndarray, n: np.ndarray, hot: np.ndarra
     short = ~much & (sizes > 1)
     a, b, c, _, _ = star_edges(key[much], node[much], bands(n[much]))
     c[a != b] = 1  # tells the edges between batches from those within one
-    for k in range(0, len(a), 500_000):
-        yield listed_rows(**{x: pa.array(y[k : k + 500_000]) for x, y in (("a", a), ("b", b), ("c", c))})
+    for k in range(0, len(a), 100_000):
+        yield listed_rows(**{x: pa.array(y[k : k + 100_000]) for x, y in (("a", a), ("b", b), ("c", c))})
     key, node, n = key[short].astype(np.int64), node[short], n[short].astype(np.int64)
-    for k in range(0, len(key), 500_000):
-        yield listed_rows(**{x: pa.array(y[k : k + 500_000]) for x, y in (("list", key), ("node", node), ("n", n))})
+    for k in range(0, len(key), 100_000):
+        yield listed_rows(**{x: pa.array(y[k : k + 100_000]) for x, y in (("list", key), ("node", node), ("n", n))})
 
 
 def listed(blocks: DataFrame, long: int = LONG) -> DataFrame:
@@ -226,7 +232,7 @@ def listed(blocks: DataFrame, long: int = LONG) -> DataFrame:
                 held.append((high.astype(np.uint64) << np.uint64(32) | low, node[own], n[own], hot))
         yield from lists()
 
-    return blocks.sortWithinPartitions("part").mapInArrow(run, "list long, node long, n long, doc_id long, row_key long, a long, b long, c long, parity binary")
+    return blocks.sortWithinPartitions("part").mapInArrow(released(run), "list long, node long, n long, doc_id long, row_key long, a long, b long, c long, parity binary")
 
 
 def document_rows(data: bytes) -> pa.RecordBatch:
@@ -244,19 +250,25 @@ def map_bytes(n: np.ndarray) -> np.ndarray:
 
 def list_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """a, b, n of a, n of b: pairs of sets of like size in the lists, once each."""
+    names, first, own = np.unique(node, return_index=True, return_inverse=True)
+    size_of, own = n[first], own.astype(np.uint64)
     starts, sizes = runs_of(key)
-    out = []
+    pairs, fresh, held = np.empty(0, np.uint64), [], 0
     for size in np.unique(sizes[sizes > 1]).tolist():
-        at = starts[sizes == size][:, None] + np.arange(size)
         i, j = np.triu_indices(size, 1)
-        x, y = at[:, i].ravel(), at[:, j].ravel()
-        ok = (np.minimum(n[x], n[y]) * 100 >= PERCENT * np.maximum(n[x], n[y])) & (node[x] != node[y])
-        x, y = x[ok], y[ok]
-        p = np.empty(len(x), [("a", "<i8"), ("b", "<i8"), ("n", "<i8"), ("m", "<i8")])
-        p["a"], p["b"], p["n"], p["m"] = node[x], node[y], n[x], n[y]
-        out.append(np.unique(p))
-    p = np.unique(np.concatenate(out)) if out else np.empty(0, [("a", "<i8"), ("b", "<i8"), ("n", "<i8"), ("m", "<i8")])
-    return p["a"], p["b"], p["n"], p["m"]
+        lists = starts[sizes == size]
+        for k in range(0, len(lists), step := max(1, PAIRS // len(i))):
+            at = lists[k : k + step, None] + np.arange(size)
+            x, y = own[at[:, i].ravel()], own[at[:, j].ravel()]
+            p, q = size_of[x], size_of[y]
+            ok = (np.minimum(p, q) * 100 >= PERCENT * np.maximum(p, q)) & (x != y)
+            fresh.append(np.unique(np.minimum(x, y)[ok] << np.uint64(32) | np.maximum(x, y)[ok]))
+            held += len(fresh[-1])
+            if held > PAIRS:
+                pairs, fresh, held = np.unique(np.concatenate([pairs, *fresh])), [], 0
+    pairs = np.unique(np.concatenate([pairs, *fresh]))
+    a, b = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return names[a], names[b], size_of[a], size_of[b]
 
 
 def runs_of(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,20 +278,19 @@ def runs_of(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidate_pairs(lists: DataFrame, alive: bytes, parts: int) -> DataFrame:
     """a, b, n, m: pairs of sets in short lists and their sizes. alive: a bit table of the sets left."""
-    shared = lists.sparkSession.sparkContext.broadcast(alive)  # 1.5 MB
+    shared = lists.sparkSession.sparkContext.broadcast(alive)  # 48 MB at most
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).reshape(3, -1)
+        bits = BitTable(shared.value)
         for b in batches:
-            p = bit_places(b.column(1).to_numpy().view(np.uint64))
-            yield b.filter(pa.array((bits[0][p[0]] & bits[1][p[1]] & bits[2][p[2]]).astype(bool)))
+            yield b.filter(pa.array(bits.may_hold(b.column(1).to_numpy())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate([r[c] for r in rows]) for c in range(3)]
             pairs = list_pairs(*columns)
-            for k in range(0, len(pairs[0]), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 500_000]) for x in pairs], names=["a", "b", "n", "m"])
+            for k in range(0, len(pairs[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000]) for x in pairs], names=["a", "b", "n", "m"])
 
         held, size = [], 0
         for b in batches:  # lists are whole: a cut falls between two of them
@@ -295,9 +306,9 @@ def candidate_pairs(lists: DataFrame, alive: bytes, parts: int) -> DataFrame:
         if held:
             yield from out(held)
 
-    kept = lists.select("list", "node", "n").mapInArrow(left, "list long, node long, n long")
+    kept = lists.select("list", "node", "n").mapInArrow(released(left), "list long, node long, n long")
     # as many tasks as the lists' size asks for: each names a pair once, so more tasks would name it more often
-    return kept.repartitionById(parts, F.pmod("list", F.lit(parts)).cast("int")).sortWithinPartitions("list").mapInArrow(run, "a long, b long, n long, m long")
+    return kept.repartitionById(parts, F.pmod("list", F.lit(parts)).cast("int")).sortWithinPartitions("list").mapInArrow(released(run), "a long, b long, n long, m long")
 
 
 def likely_pairs(pairs: DataFrame, maps: DataFrame) -> DataFrame:
@@ -310,7 +321,39 @@ def likely_pairs(pairs: DataFrame, maps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
 
     left, right = maps.select(F.col("node").alias("a"), F.col("parity").alias("pa")), maps.select(F.col("node").alias("b"), F.col("parity").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "pa", "pb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "pa", "pb").mapInArrow(released(run), "a long, b long")
+
+
+def heap_merged(lists: list[list[int]], weights: list[int], least: int) -> tuple[list[int], list[int]]:
+    """The members of sorted lists whose lists weigh at least `least`, and that weight; a heap of the lists' next members skips what can't."""
+    heap = [(x[0], k) for k, x in enumerate(lists)]
+    heapify(heap)
+    at, found, counts = [0] * len(lists), [], []
+    while heap:
+        doc, count, taken = heap[0][0], 0, []
+        while heap and heap[0][0] == doc:
+            k = heappop(heap)[1]
+            count += weights[k]
+            taken.append(k)
+        if count >= least:
+            found.append(doc)
+            counts.append(count)
+            for k in taken:
+                at[k] += 1
+                if at[k] < len(lists[k]):
+                    heappush(heap, (lists[k][at[k]], k))
+            continue
+        while heap and count + weights[heap[0][1]] < least:
+            k = heappop(heap)[1]
+            count += weights[k]
+            taken.append(k)
+        if not heap:  # what is left in the lists taken can't reach least
+            break
+        for k in taken:
+            at[k] = bisect_left(lists[k], heap[0][0], at[k])
+            if at[k] < len(lists[k]):
+                heappush(heap, (lists[k][at[k]], k))
+    return found, counts
 
 
 class Inverted:
@@ -321,41 +364,59 @@ class Inverted:
         every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
         o = np.argsort(every, kind="stable")
-        self.docs, key = owner[o], every[o]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        self.starts, self.sizes = first, np.diff(np.r_[first, len(key)])
-        self.keys = key[first]
-
-    def lists(self, s: np.ndarray) -> np.ndarray:
+        docs, key = owner[o], every[o]
+        starts, sizes = runs_of(key)
+        self.keys = key[starts]
+        # lists of the same sets are one, told by two sums of random numbers of their sets
+        sums = [np.add.reduceat(r[docs], starts) if len(starts) else key for r in np.random.default_rng(5).integers(0, 1 << 63, (2, len(sets)), np.uint64)]
+        order = np.lexsort((*sums, sizes))
+        new = np.r_[True, (sizes[order][1:] != sizes[order][:-1]) | (sums[0][order][1:] != sums[0][order][:-1]) | (sums[1][order][1:] != sums[1][order][:-1])] if len(order) else np.empty(0, bool)
+        self.merged = np.empty(len(order), np.int64)  # the list of each key, by size
+        self.merged[order] = np.cumsum(new) - 1
+        own = order[new]
+        self.docs, self.starts, self.sizes = docs, starts[own], sizes[own]
+        self.held: dict[int, list[int]] = {}
+
+    def lists(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of a set's shingles, short ones first, and how many shingles each stands for."""
         at = np.searchsorted(self.keys, s)
         at[at == len(self.keys)] = 0
-        return at[self.keys[at] == s] if len(self.keys) else at[:0]
-
-    def linked(self, s: np.ndarray) -> np.ndarray:
-        """The sets whose overlap with s makes a link (s itself included, if it is one of them)."""
-        lists, t = self.lists(s), -(-len(s) * PERCENT // 100)
-        if len(lists) < t or not len(s):
+        return np.unique(self.merged[at[self.keys[at] == s]] if len(self.keys) else at[:0], return_counts=True)
+
+    def members(self, k: int) -> np.ndarray:
+        return self.docs[self.starts[k] : self.starts[k] + self.sizes[k]]
+
+    def linked(self, s: np.ndarray, own: int = -1) -> np.ndarray:
+        """The sets whose overlap with s makes a link: s itself, too, if it is one of them and its number isn't told as own."""
+        lists, weights = self.lists(s)
+        sizes = self.sizes[lists]
+        others = (sizes > 1) | (self.docs[self.starts[lists]] != own)  # lists of s alone bring it to nobody
+        lists, weights, sizes = lists[others], weights[others], sizes[others]
+        t, total = -(-len(s) * PERCENT // 100), int(weights.sum())
+        if not len(s) or total < t:
             return np.empty(0, np.int64)
-        order = lists[np.argsort(self.sizes[lists], kind="stable")]
-        long = min(t - 1, int(t / (np.log(max(2, int(self.sizes[order[-1]]))) + 1)))  # so many of the longest lists are set aside
-        short, long_ones = order[: len(order) - long], order[len(order) - long :]
-        sizes = self.sizes[short]
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat(self.starts[short] - ends + sizes, sizes)
-        counts = np.bincount(self.docs[at], minlength=len(self.n))
-        found = np.flatnonzero(counts >= t - long)
+        # DivideSkip: the longest lists, of a weight below t, are set aside; as many as make merging (a heap step a member) and probing (candidates times lists) cheapest
+        work = np.cumsum(sizes)
+        left = total - np.cumsum(weights)
+        cost = HEAP_STEP * work + np.minimum(len(self.n), np.cumsum(sizes * weights) / np.maximum(t - left, 1)) * (len(lists) - 1 - np.arange(len(lists)))
+        cut = int(np.argmin(np.where(left < t, cost, np.inf))) + 1
+        short, aside = lists[:cut].tolist(), int(left[cut - 1])
+        for k in short:
+            if k not in self.held:
+                self.held[k] = self.members(k).tolist()
+        found, counts = (np.array(x, np.int64) for x in heap_merged([self.held[k] for k in short], weights[:cut].tolist(), t - aside))
         m = self.n[found]
-        found = found[(m * 100 >= len(s) * PERCENT) & (m * PERCENT <= len(s) * 100)]
-        counts = counts[found]
-        need = required(len(s), self.n[found])
-        for left, k in zip(range(long, 0, -1), long_ones, strict=True):
-            able = counts + left >= need
+        ok = (m * 100 >= len(s) * PERCENT) & (m * PERCENT <= len(s) * 100) & (found != own)
+        found, counts, need = found[ok], counts[ok], required(len(s), m[ok])
+        for k, w in zip(lists[cut:].tolist(), weights[cut:].tolist(), strict=True):
+            able = counts + aside >= need
             found, counts, need = found[able], counts[able], need[able]
             if not len(found):
-                return found
-            own = self.docs[self.starts[k] : self.starts[k] + self.sizes[k]]
-            p = np.searchsorted(own, found)
-            counts += own[np.minimum(p, len(own) - 1)] == found
+                break
+            members = self.members(k)
+            p = np.searchsorted(members, found)
+            counts = counts + w * (members[np.minimum(p, len(members) - 1)] == found)
+            aside -= w
         return found[counts >= need]
 
 
@@ -373,9 +434,11 @@ def family_links(names: list[int], sets: list[np.ndarray], asks: list[bool], ans
     index = Inverted([sets[k] for k in here])
     left = len(names)
 
+    place = {k: i for i, k in enumerate(here)}
+
     def ask(q: int) -> None:
         nonlocal left
-        for k in index.linked(sets[q]).tolist():
+        for k in index.linked(sets[q], place.get(q, -1)).tolist():
             a, b = find(q), find(here[k])
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -383,7 +446,7 @@ def family_links(names: list[int], sets: list[np.ndarray], asks: list[bool], ans
 
     todo = [k for k, x in enumerate(asks) if x]
     if len(here) == len(names) == len(todo) and len(names) > 2:  # the set with most company first
-        mass = [int(index.sizes[index.lists(s)].sum()) / max(1, len(s)) for s in sets]
+        mass = [int((index.sizes[k] * w).sum()) / max(1, len(s)) for s in sets for k, w in (index.lists(s),)]
         pivot = max(todo, key=lambda k: (mass[k], -k))
         ask(pivot)
         todo = sorted((k for k in todo if find(k) != find(pivot)), key=lambda k: (-mass[k], k))
@@ -422,23 +485,22 @@ def search(members: DataFrame) -> DataFrame:
         if out := links():
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return members.select("grp", "cls", "asks", "answers", "shingles").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
+    return members.select("grp", "cls", "asks", "answers", "shingles").repartition("grp").sortWithinPartitions("grp").mapInArrow(released(run), "a long, b long")
 
 
 def family_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """row_key, shingles of the rows whose key may be among keys; a bit table of fixed size (1.5 MB) thins them in the scan."""
+    """row_key, shingles of the rows whose key may be among keys; a bit table of 48 MB at most thins them in the scan."""
     table = docs.sparkSession.sparkContext.broadcast(bit_table(keys.select(F.col("row_key").alias("hash"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, memory = np.unpackbits(np.frombuffer(table.value, np.uint8)).reshape(3, -1), WordHashes()
+        bits, memory = BitTable(table.value), WordHashes()
         for b in batches:
-            p = bit_places(b.column(0).to_numpy().view(np.uint64))
-            at = np.flatnonzero(bits[0][p[0]] & bits[1][p[1]] & bits[2][p[2]])
+            at = np.flatnonzero(bits.may_hold(b.column(0).to_numpy()))
             for k in range(0, len(at), 500):
                 part = b.take(pa.array(at[k : k + 500]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, memory).tobytes() for x in utf8(part.column(1))], pa.binary())], names=["row_key", "shingles"])
 
-    return docs.select(row_key(F.col("doc_id").cast("long"), F.col("text")).alias("row_key"), "text").mapInArrow(run, "row_key long, shingles binary")
+    return docs.select(row_key(F.col("doc_id").cast("long"), F.col("text")).alias("row_key"), "text").mapInArrow(released(run), "row_key long, shingles binary")
 
 
 def pivot_links(members: DataFrame) -> DataFrame:
@@ -454,7 +516,7 @@ def pivot_links(members: DataFrame) -> DataFrame:
                 ok.append(len(np.intersect1d(x, y, assume_unique=True)) >= required(len(x), len(y)))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ok, pa.bool_())], names=["fam", "cls", "pivot", "shingles", "linked"])
 
-    return members.join(chosen, "fam").select("fam", "cls", "pivot", "shingles", "other").mapInArrow(run, "fam long, cls long, pivot long, shingles binary, linked boolean")
+    return members.join(chosen, "fam").select("fam", "cls", "pivot", "shingles", "other").mapInArrow(released(run), "fam long, cls long, pivot long, shingles binary, linked boolean")
 
 
 def _pairs(members: DataFrame, ask_blocks, answer_blocks) -> DataFrame:
@@ -511,14 +573,14 @@ def similar_components(docs: DataFrame, *, part_bytes: int = PART_BYTES, limit:
     least = F.floor(F.floor((F.col("n") * PERCENT + 99) / 100) / SPARE) + 1
     inside = through.where("a = b").select(F.col("b").alias("node"), F.col("c").alias("deep"))
     shared = lists.select("node", F.lit(1).alias("k"), F.lit(0).alias("deep")).union(inside.select("node", "deep", "deep")).groupBy("node").agg(F.sum("k").alias("shared"), F.sum("deep").alias("deep"))
-    alive = stored(shared.join(sizes, "node").where(F.col("shared") >= least).withColumn("deep", F.col("deep") >= least), "alive")
-    found = candidate_pairs(lists, bit_table(alive.select(F.col("node").alias("hash"))), parts).distinct()
+    alive = stored(shared.join(sizes, "node").where(F.col("shared") >= least).withColumn("deep", F.col("deep") >= least), "alive", files=parts)
+    found = candidate_pairs(lists, bit_table(alive.select(F.col("node").alias("hash"))), max(8, -(-size // PAIR_BYTES))).distinct()
     near = likely_pairs(found, alive.select("node", "parity"))
 
     star = long_list_edges(through.where("a <> b"), alive.where("deep").select("node"))
-    fams = connected_components(near.union(star))
+    fams = connected_components(near.union(star), files=parts)
     members = fams.join(alive, "node").select(F.col("root").alias("fam"), F.col("node").alias("cls"), "n", "shared", "row_key")
-    comps = connected_components(family_search(docs, stored(members, "members"), limit))
+    comps = connected_components(family_search(docs, stored(members, "members", files=parts), limit), files=parts)
 
     named = rows.drop("parity").join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     ids = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
 from .toxicity import held_out
 
 ORDER, BITS = 4, 12
@@ -189,7 +190,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             lang, score, rejected = shared.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean")
 
 
 def identify_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

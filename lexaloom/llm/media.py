@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import released, utf8
 
 PAD_TO, PAD = 576, b"\xff"
 RATE = 16_000
@@ -205,7 +205,7 @@ def store_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
                 yield pa.RecordBatch.from_arrays([*[b.column(i).slice(k, 256) for i in range(len(keep))], pa.array(map(len, part), pa.int64()), pa.array(["application/octet-stream"] * len(part)), pa.array([wav(padded(x)) for x in part], pa.binary())], names=[*keep, "n_bytes", "declared_type", "media"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, text).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "n_bytes long, declared_type string, media binary"]))
+    return docs.select(*keep, text).mapInArrow(released(run), ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "n_bytes long, declared_type string, media binary"]))
 
 
 def sniffed(b: bytes | None, declared: str | None) -> dict:
@@ -231,7 +231,7 @@ def sniff_media(media: DataFrame, column: str = "media", declared: str = "declar
                 yield pa.RecordBatch.from_arrays([*[b.column(i).slice(k, 256) for i in range(len(keep) + 1)], *rows.columns], names=[*keep, "media", *SNIFFED.names])
 
     kinds = dict(media.dtypes)
-    return media.select(*keep, column, declared).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "media binary, media_type string, corrected boolean, payload binary, embedded array<struct<at: bigint, n: bigint, type: string, data: binary>>"]))
+    return media.select(*keep, column, declared).mapInArrow(released(run), ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "media binary, media_type string, corrected boolean, payload binary, embedded array<struct<at: bigint, n: bigint, type: string, data: binary>>"]))
 
 
 def media_digests(docs: DataFrame) -> DataFrame:

@@ -1,20 +1,22 @@
 """Suffix-array deduplication of byte strings by bucket-pointer refinement.
 
-Removes each byte that a string of LENGTH bytes covers which also starts anywhere else. A suffix
-belongs to the bucket of its first q bytes; a bucket of depth 2q is the pair of buckets at a place and
-q bytes on, so that identifiers computed once are reused to refine the next depth. Only buckets with
-more than one member are refined further:
-
-1. Of the places in each LENGTH-byte window, the one with the least bucket of depth ANCHOR stands for
-   the window (the last of equal ones). Neighbouring windows share it, so about one place in 69 is
-   dealt out, with its bucket and a fingerprint of the stretch that its windows cover.
+Removes each byte that a string of LENGTH bytes covers which also starts anywhere else.
+
+1. Dealing. Of the places in each LENGTH-byte window, the one with the least identifier of its first
+   ANCHOR bytes stands for the window (the last of equal ones). Neighbouring windows share it, so about one
+   place in 69 is dealt out, to the bucket of its identifier, with a fingerprint of the stretch that its
+   windows cover. Equal windows have equal places in them, so they meet in one bucket.
 2. A place alone in its bucket has no repeated window. Places with equal stretches repeat in full.
-3. Other buckets are refined to depth LENGTH: their stretches' windows get the pair of bucket
-   identifiers at their start and LENGTH - 128 bytes on, and those with company repeat.
+3. Buckets with company are sorted by bucket-pointer refinement (refined): the suffixes of their stretches
+   start in the buckets of their first GRAM bytes; the members of each bucket with company are sorted by the
+   bucket pointers of the places at the offset of the depth reached, which doubles the depth; the pointers
+   are updated and the next depth reuses them. Suffixes alone in their bucket are done. Windows that have
+   company at depth LENGTH repeat.
 
-Buckets that are large within a task are sent on as one row and their members go to step 3 directly;
-a bucket with more than HOT stretches is refined in rows of single windows, which are pre-aggregated.
-Fingerprints have 64 bits within buckets of 64 bits.
+Buckets that are large within a task are sent on as one row and their members go to step 3 directly. A
+bucket of more than HOT bytes of stretches is not sorted in one task: its windows become rows by the
+identifier of their LENGTH bytes, which are pre-aggregated.
+The identifiers of dealt buckets, the fingerprints within them and the hot windows' identifiers have 64 bits.
 
 Defined results: null and empty texts have no bytes; texts below LENGTH lose nothing; rows that repeat
 make each other's strings repeat; null ids are kept; an empty table gives an empty result; other
@@ -32,23 +34,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, utf8
-from .decontam import bit_places, bit_table, row_key
+from .common import released, small_batches, stored, utf8
+from .decontam import BitTable, bit_table, row_key
 
-LENGTH, ANCHOR = 200, 64
-PART_BYTES = 100_000_000
+LENGTH, ANCHOR, GRAM = 200, 64, 8
+PART_BYTES = 32_000_000  # of text, about a third of it in dealt places
 PIECE = 1 << 20
-BATCH = 500_000
+BATCH = 200_000
 HEAVY = 64
-HOT = 200_000
+TASK, HOT = 1 << 19, 1 << 20  # bytes of stretches after which a task sorts what it holds, and of a bucket
 _K = np.uint64(0x9E3779B97F4A7C15)
 _K2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(29)
 _FIRST = np.random.default_rng(12).integers(0, 1 << 63, 256, np.uint64)
 
 
-def _refined(ids: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The bucket identifiers of pairs of buckets."""
+def _paired(ids: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The identifiers of pairs of strings by theirs."""
     h = ids * _K
     h ^= other
     h ^= h >> _S
@@ -57,20 +59,63 @@ def _refined(ids: np.ndarray, other: np.ndarray) -> np.ndarray:
     return h
 
 
-def buckets(data: np.ndarray, depth: int) -> np.ndarray:
-    """Bucket identifiers of the depth's leading bytes at each place (depth: a power of two)."""
+def identifiers(data: np.ndarray, depth: int) -> np.ndarray:
+    """Identifiers of the depth's leading bytes at each place (depth: a power of two)."""
     ids, q = _FIRST[data], 1
     while q < depth:
-        ids = _refined(ids[:-q], ids[q:]) if len(ids) > q else ids[:0]
+        ids = _paired(ids[:-q], ids[q:]) if len(ids) > q else ids[:0]
         q *= 2
     return ids
 
 
 def windows(data: np.ndarray) -> np.ndarray:
-    """Bucket identifiers of depth LENGTH."""
-    b = buckets(data, 128)
+    """Identifiers of the LENGTH bytes at each place."""
+    b = identifiers(data, 128)
     n = len(data) - LENGTH + 1
-    return _refined(b[:n], b[LENGTH - 128 :][:n]) if n > 0 else b[:0]
+    return _paired(b[:n], b[LENGTH - 128 :][:n]) if n > 0 else b[:0]
+
+
+def sort_buckets(key: np.ndarray, place: np.ndarray, pointer: np.ndarray, base: np.ndarray | int) -> np.ndarray:
+    """Sort places by key; each one's pointer becomes the end of its new bucket, on from base. Returns the places that have company, in order."""
+    order = np.argsort(key)
+    key, place = key[order], place[order]
+    starts, sizes = runs_of(key)
+    pointer[place] = np.repeat(starts + sizes, sizes) - 1 + (base if np.isscalar(base) else base[order])
+    return place[np.repeat(sizes > 1, sizes)]
+
+
+def repeated_windows(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The part and the place in it of each LENGTH-byte window that also starts elsewhere in the parts, by bucket-pointer refinement.
+
+    pointer[p] is the last rank of p's bucket, so buckets stand in lexicographic order, and refining one
+    leaves the pointers of the others as they are.
+    """
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    data = np.frombuffer(b"".join(parts) + bytes(GRAM), np.uint8)
+    end = np.repeat(np.cumsum(sizes), sizes)
+    places = np.arange(len(end))
+    grams, k = data.astype(np.uint64), 1
+    while k < GRAM:  # the first GRAM bytes as a number, high byte first
+        grams = grams[:-k] << np.uint64(8 * k) | grams[k:]
+        k *= 2
+    pointer = np.empty(len(end), np.int64)
+    inside = places[places + GRAM <= end]  # a string of the depth reached fits into its part
+    company = sort_buckets(grams[inside], inside, pointer, 0)
+    depth = GRAM
+    while depth < LENGTH and len(company):
+        step = min(depth, LENGTH - depth)
+        company = company[company + depth + step <= end[company]]
+        own = pointer[company]
+        # the members of a bucket stay behind each other: its first rank is its last one less its size, of those that still fit
+        starts, counts = runs_of(np.sort(own))
+        first = np.zeros(int(own.max(initial=-1)) + 1, np.int64)
+        ranked = np.sort(own)[starts] if len(own) else own
+        first[ranked] = ranked - (starts + counts - 1)
+        company = sort_buckets(own.astype(np.uint64) << np.uint64(32) | pointer[company + step].astype(np.uint64), company, pointer, first[own])
+        depth += step
+    company = np.sort(company)
+    part = np.searchsorted(np.cumsum(sizes), company, "right")
+    return part, company - (np.cumsum(sizes) - sizes)[part]
 
 
 def stretches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +124,7 @@ def stretches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     if n <= 0:
         e = np.empty(0, np.int64)
         return np.empty(0, np.uint64), e, e, e
-    ids = buckets(data, ANCHOR)
+    ids = identifiers(data, ANCHOR)
     low = (ids & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(ids) - 1, -1, -1, dtype=np.uint64)
     width, k, least = LENGTH - ANCHOR + 1, 1, low
     while 2 * k <= width:
@@ -136,7 +181,9 @@ def split_rows(rows: np.ndarray, final: bool) -> tuple[np.ndarray, np.ndarray, n
         return one[:0], repeated, one[inside]
     heads = one[starts[crowd]].copy()
     heads["flag"] |= CROWDED
-    return np.concatenate([one[~inside], heads]), repeated, one[inside]
+    rest = inside.copy()
+    rest[starts[crowd]] = False  # a head comes to be refined from the last step
+    return np.concatenate([one[~inside], heads]), repeated, one[rest]
 
 
 def _marks(rows: np.ndarray) -> list[pa.Array]:
@@ -149,8 +196,8 @@ SPLIT = pa.schema([(c, pa.int64()) for c in ("bucket", "row_key", "first", "n")]
 def _split_batches(repeated: np.ndarray, refine: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows without a bucket are marks; those with one are stretches to refine."""
     for rows, refined in ((repeated, False), (refine, True)):
-        for k in range(0, len(rows), 1_000_000):
-            part = rows[k : k + 1_000_000]
+        for k in range(0, len(rows), 100_000):
+            part = rows[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part["a"].view(np.int64)) if refined else pa.nulls(len(part), pa.int64()), *_marks(part)], schema=SPLIT)
 
 
@@ -185,7 +232,7 @@ def dealt(docs: DataFrame, parts: int) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select(row_key(F.col("doc_id"), F.col("text")), "text").mapInArrow(run, "part int, kind int, data binary")
+    return docs.select(row_key(F.col("doc_id"), F.col("text")), "text").mapInArrow(released(run), "part int, kind int, data binary")
 
 
 def pack(rows: np.ndarray) -> bytes:
@@ -234,75 +281,58 @@ def split_buckets(blocks: DataFrame) -> DataFrame:
         if held:
             yield from _split_batches(*split_rows(np.concatenate(held), True)[1:])
 
-    return blocks.sortWithinPartitions("part").mapInArrow(run, "bucket long, row_key long, first long, n long")
-
-
-def may_hold(b: pa.RecordBatch, column: int, bits: np.ndarray) -> np.ndarray:
-    p = bit_places(b.column(column).to_numpy().view(np.uint64))
-    return (bits[0][p[0]] & bits[1][p[1]] & bits[2][p[2]]).astype(bool)
+    return blocks.sortWithinPartitions("part").mapInArrow(released(run), "bucket long, row_key long, first long, n long")
 
 
 def contexts(docs: DataFrame, refine: DataFrame) -> DataFrame:
-    """bucket, row_key, first, bytes of the stretches to refine."""
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(refine.select(F.col("row_key").alias("hash"))))  # 1.5 MB
+    """bucket, row_key, first, bytes of the stretches to refine, which are told apart by (bucket, row_key, first, n)."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(refine.select(F.col("row_key").alias("hash"))))  # 48 MB at most
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(table.value, np.uint8)).reshape(3, -1)
+        bits = BitTable(table.value)
         for b in batches:
-            yield b.filter(pa.array(may_hold(b, 0, bits)))
+            yield b.filter(pa.array(bits.may_hold(b.column(0).to_numpy())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buckets_, keys, firsts, parts, size = [], [], [], [], 0
+            buckets, keys, firsts, parts, size = [], [], [], [], 0
             for key, text, places in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2), strict=True):
                 v = places.values
                 for bucket, first, n in zip(v.field(0).to_pylist(), v.field(1).to_pylist(), v.field(2).to_pylist(), strict=True):
-                    buckets_.append(bucket)
+                    buckets.append(bucket)
                     keys.append(key)
                     firsts.append(first)
                     parts.append(text[first : first + n])
                     size += n
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets_), pa.array(keys), pa.array(firsts), pa.array(parts, pa.binary())], names=["bucket", "row_key", "first", "bytes"])
-                    buckets_, keys, firsts, parts, size = [], [], [], [], 0
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(keys), pa.array(firsts), pa.array(parts, pa.binary())], names=["bucket", "row_key", "first", "bytes"])
+                    buckets, keys, firsts, parts, size = [], [], [], [], 0
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(buckets_), pa.array(keys), pa.array(firsts), pa.array(parts, pa.binary())], names=["bucket", "row_key", "first", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(keys), pa.array(firsts), pa.array(parts, pa.binary())], names=["bucket", "row_key", "first", "bytes"])
 
-    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text").mapInArrow(thinned, "row_key long, text string").dropDuplicates(["row_key"])
+    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text").mapInArrow(released(thinned), "row_key long, text string").dropDuplicates(["row_key"])
     places = refine.groupBy("row_key").agg(F.collect_set(F.struct("bucket", "first", "n")).alias("places"))  # bounded by a text's length
-    return texts.join(places, "row_key").select("row_key", "text", "places").mapInArrow(cut, "bucket long, row_key long, first long, bytes binary")
+    return texts.join(places, "row_key").select("row_key", "text", "places").mapInArrow(released(cut), "bucket long, row_key long, first long, bytes binary")
 
 
 def refined_marks(found: DataFrame) -> DataFrame:
     """row_key, first, n of the windows with company in their bucket of depth LENGTH, joined to runs.
 
-    found has all stretches of each bucket; a task holds those of one bucket and as many others as come
-    with it, up to HOT.
+    found has all stretches of each bucket; a task sorts whole buckets, of TASK and a bucket (HOT) in bytes at most at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[pa.RecordBatch]:
-            sizes = np.array([len(x) for x in parts])
-            ids = windows(np.frombuffer(b"".join(parts), np.uint8))
-            n = sizes - LENGTH + 1
-            starts = np.cumsum(sizes) - sizes
-            own = np.repeat(np.arange(len(parts)), n)
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            ids = ids[np.repeat(starts, n) + within]
-            order = np.argsort(ids, kind="stable")
-            first, count = runs_of(ids[order])
-            twice = np.zeros(len(ids), bool)
-            twice[order] = np.repeat(count > 1, count)
-            at = np.flatnonzero(twice)
-            if len(at):
-                new = np.r_[True, (own[at][1:] != own[at][:-1]) | (within[at][1:] != within[at][:-1] + 1)]
-                lo, hi = at[new], at[np.r_[new[1:], True]]
+            own, within = repeated_windows(parts)
+            if len(own):
+                new = np.r_[True, (own[1:] != own[:-1]) | (within[1:] != within[:-1] + 1)]
+                lo, hi = np.flatnonzero(new), np.flatnonzero(np.r_[new[1:], True])
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(keys)[own[lo]]), pa.array(np.array(firsts)[own[lo]] + within[lo]), pa.array(hi - lo + LENGTH)], names=["row_key", "first", "n"])
 
         keys, firsts, parts, bucket, size = [], [], [], None, 0
         for b in batches:
             for g, key, first, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if g != bucket and size > 4_000_000:
+                if g != bucket and size > TASK:
                     yield from out()
                     keys, firsts, parts, size = [], [], [], 0
                 bucket = g
@@ -313,7 +343,7 @@ def refined_marks(found: DataFrame) -> DataFrame:
         if parts:
             yield from out()
 
-    return found.select("bucket", "row_key", "first", "bytes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "row_key long, first long, n long")
+    return found.select("bucket", "row_key", "first", "bytes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(run), "row_key long, first long, n long")
 
 
 def hot_marks(found: DataFrame) -> DataFrame:
@@ -325,18 +355,18 @@ def hot_marks(found: DataFrame) -> DataFrame:
                 ids = windows(np.frombuffer(data, np.uint8)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(np.arange(first, first + len(ids))), pa.array(ids)], names=["row_key", "first", "id"])
 
-    rows = found.select("row_key", "first", "bytes").mapInArrow(run, "row_key long, first long, id long")
+    rows = found.select("row_key", "first", "bytes").mapInArrow(released(run), "row_key long, first long, id long")
     twice = rows.groupBy("id").count().where("count > 1").select("id")
     return rows.join(twice, "id").select("row_key", "first", F.lit(LENGTH).cast("long").alias("n"))
 
 
-def repeated_marks(docs: DataFrame, *, part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
+def repeated_marks(docs: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
     """row_key, first, n: byte runs that strings of LENGTH bytes cover which also start elsewhere (runs may overlap)."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, -(-size // part_bytes))
     split = stored(split_buckets(dealt(docs, parts).repartitionById(parts, F.col("part"))), "buckets")
-    marks, refine = split.where("bucket IS NULL").select("row_key", "first", "n"), split.where("bucket IS NOT NULL")
-    crowded = refine.groupBy("bucket").count().where(F.col("count") > hot).select("bucket")
+    refine = split.where("bucket IS NOT NULL")
+    twice = refine.groupBy("bucket", "row_key", "first", "n").count().where("count > 1")  # of rows that repeat
+    marks = split.where("bucket IS NULL").select("row_key", "first", "n").union(twice.select("row_key", "first", "n"))
+    crowded = refine.groupBy("bucket").agg(F.sum("n").alias("_size")).where(F.col("_size") > hot).select("bucket")
     if crowded.isEmpty():
         return marks.union(refined_marks(contexts(docs, refine)))
     hot_ones, others = refine.join(crowded, "bucket", "left_semi"), refine.join(crowded, "bucket", "left_anti")
@@ -359,24 +389,26 @@ def left_parts(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
     return [text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]
 
 
-def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, with_text: bool = False, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, with_text: bool = False, part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
     """keep, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining text, null for null) and spans, for every row of docs.
 
     A character that is cut goes whole from `kept`; n_removed and kept_sha256 count bytes.
 
-    Texts that have no marks, by a bit table of fixed size, are not shuffled.
+    Texts that have no marks, by a bit table of their rows, are not shuffled.
     """
     small_batches(docs.sparkSession)
-    marks = stored(repeated_marks(docs, **options).groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("places")), "marks")
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(marks.select(F.col("row_key").alias("hash"))))  # 1.5 MB
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, -(-size // part_bytes))
+    marks = stored(repeated_marks(docs, parts, hot).groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("places")), "marks", files=parts)
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(marks.select(F.col("row_key").alias("hash"))))  # 48 MB at most
     kinds = dict(docs.dtypes)
     kept = [f"_k{i}" for i in range(len(keep))]
     own = ", ".join(f"{k} {kinds[c]}" for k, c in zip(kept, keep, strict=True))
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(table.value, np.uint8)).reshape(3, -1)
+        bits = BitTable(table.value)
         for b in batches:
-            some = may_hold(b, 0, bits)
+            some = bits.may_hold(b.column(0).to_numpy())
             whole = utf8(b.column(1))
             texts = [x or b"" for x in whole]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x if s or with_text else None for x, s in zip(whole, some, strict=True)], pa.binary()), pa.array([len(x) for x in texts], pa.int64()), pa.array([None if s else hashlib.sha256(x).hexdigest() for x, s in zip(texts, some, strict=True)], pa.string()), *b.columns[2:]], names=["row_key", "data", "n_bytes", "sha", *kept])
@@ -397,7 +429,7 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, with_t
             yield pa.RecordBatch.from_arrays([*b.columns[4:], b.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *more], names=[*kept, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "spans"] * with_text])
 
     rows = docs.select(row_key(docs["doc_id"], docs["text"]).alias("_row_key"), docs["text"].alias("_text"), *[docs[c].alias(k) for k, c in zip(kept, keep, strict=True)])
-    texts = rows.mapInArrow(thinned, f"row_key long, data binary, n_bytes long, sha string, {own}")
+    texts = rows.mapInArrow(released(thinned), f"row_key long, data binary, n_bytes long, sha string, {own}")
     joined = texts.join(marks, "row_key", "left").select("data", "n_bytes", "sha", "places", *kept)
-    done = joined.mapInArrow(finished, f"{own}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, spans array<struct<start: bigint, end: bigint>>" * with_text)
+    done = joined.mapInArrow(released(finished), f"{own}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, spans array<struct<start: bigint, end: bigint>>" * with_text)
     return done.withColumnsRenamed(dict(zip(kept, keep, strict=True)))

@@ -24,12 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import released, small_batches, utf8
 
 SAMPLE = 10_000
 PREFIX = 4
 KEEP, EVIDENCE = 4096, 24.0
 THRESHOLD = 0.3
+MEMORY = 100_000  # words that a scorer remembers before it starts again
 
 # Sets of identity terms that may stand for each other.
 IDENTITY = [
@@ -78,7 +79,7 @@ class ToxicityModel:
 
         def of(word: bytes) -> tuple[int, ...]:
             found = tuple(f for f in word_features(word) if f in weights)
-            if len(memory) >= 1_000_000:
+            if len(memory) >= MEMORY:
                 memory.clear()
             memory[word] = found
             return found
@@ -161,7 +162,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
             other = [swapped(x) for x in words]
             yield pa.RecordBatch.from_arrays([pa.array([text_features(x).tobytes() for x in words], pa.binary()), pa.array([None if x is None else text_features(x).tobytes() for x in other], pa.binary()), b.column(1).cast(pa.int32())], names=["features", "swapped", "toxic"])
 
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(run, "features binary, swapped binary, toxic int")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(released(run), "features binary, swapped binary, toxic int")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
@@ -180,7 +181,7 @@ def scored(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([score(x) for x in utf8(b.column(b.num_columns - 1))], pa.float64())], names=[*keep, "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "score double"]))
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(released(run), ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "score double"]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import released, utf8
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -127,7 +127,7 @@ def write_archives(typed: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return typed.select("page_id", "url", "html", "record_type", "refers_to").mapInArrow(run, "name string, n_records long, content binary")
+    return typed.select("page_id", "url", "html", "record_type", "refers_to").mapInArrow(released(run), "name string, n_records long, content binary")
 
 
 READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
@@ -167,4 +167,4 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield out()
 
-    return archives.select("content").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload)
+    return archives.select("content").mapInArrow(released(run), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload)
