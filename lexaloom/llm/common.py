@@ -103,6 +103,16 @@ def dropped(spark: SparkSession, path: str) -> None:
     fs.delete(found, True)
 
 
+def scratch_folder(spark: SparkSession, label: str, *, keep: bool = False) -> str:
+    """A new folder's path in the shared folder, which goes as a stored table does."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    found, fs = _path(spark, path)
+    fs.deleteOnExit(found)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    return path
+
+
 def stored(df: DataFrame, label: str, *, keep: bool = False, files: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there and any executor can read it.
 
@@ -110,11 +120,7 @@ def stored(df: DataFrame, label: str, *, keep: bool = False, files: int | None =
     The table goes with the surrounding scratch (unless kept), at the latest when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    found, fs = _path(spark, path)
-    fs.deleteOnExit(found)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    path = scratch_folder(spark, label, keep=keep)
     (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import read_back, reconstruct, turn_events
-from .common import stored, table
+from .common import scratch_folder, stored, table
 from .decontam import overlaps
 from .jaccard import similar_components
 from .langid import identify_languages
@@ -61,7 +61,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = stored(write_archives(with_record_types(table(spark, sf_dir, "pages"))), "warc")
+    archives = stored(write_archives(with_record_types(table(spark, sf_dir, "pages")), scratch_folder(spark, "warc")), "archives")
     return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -1,8 +1,12 @@
 """WARC archives: one gzip member per record, read back sequentially with bounded memory.
 
-The writer packs each task's records into archives of some megabytes, rows of (name, content), which
-any file or table sink can store. The reader inflates with a streaming decompressor, frames records
-by Content-Length and verifies block and payload digests; truncated or altered archives raise.
+The writer packs each task's records into `.warc.gz` files of some megabytes in a folder that all
+executors reach, named by their content, and gives their paths: what an ended task left behind isn't
+listed. The reader takes such paths, or the bytes of files (`binaryFile`); it feeds a streaming
+decompressor from the open file, frames records by Content-Length and verifies block and payload
+digests; truncated or altered archives raise. It holds a record at a time. It reads archives of other
+producers, too: any record type, header names in any case, with or without a blank after the colon,
+folded header lines, HTTP heads without a length, files without compression or in one gzip member.
 
 Of rows with equal payloads of at least `min_revisit` bytes, those with the largest page_id are
 responses and the others revisits of it. Defined results: null html is an empty payload; a null
@@ -14,11 +18,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,67 +62,126 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def inflated(content: bytes) -> Iterator[bytes]:
-    """The members' bytes in pieces; EOFError where the last member is cut short."""
-    at, d = 0, None
-    while at < len(content) or (d and d.unused_data):
-        piece = content[at : at + FEED]
-        at += len(piece)
+def inflated(source: BinaryIO) -> Iterator[bytes]:
+    """An archive's bytes in pieces, inflated if they are gzip members; EOFError where the last member is cut short."""
+    piece, d = source.read(FEED), None
+    if piece and piece[:2] != b"\x1f\x8b":
+        while piece:
+            yield piece
+            piece = source.read(FEED)
+        return
+    while piece:
         while piece:
             d = d or zlib.decompressobj(31)
             yield d.decompress(piece)
             piece, d = (d.unused_data, None) if d.eof else (b"", d)
+        piece = source.read(FEED)
     if d:
         raise EOFError("an archive ends inside a gzip member")
 
 
-def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive."""
-    pieces, held = inflated(content), b""
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
+def headers_of(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; the lines of a folded field are one value."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n"):
+        if line[:1] in (" ", "\t") and name:
+            out[name] = f"{out[name]} {line.strip()}".strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def records(source: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each record of an archive."""
+    pieces, held = inflated(io.BytesIO(source) if isinstance(source, bytes) else source), b""
     while True:
-        while (end := held.find(b"\r\n\r\n")) < 0:
+        held = held.lstrip(b"\r\n")
+        while not (end := _HEAD_END.search(held)):
             piece = next(pieces, None)
             if piece is None:
                 if held:
                     raise EOFError("an archive ends inside a record's head")
                 return
-            held += piece
-        lines = held[:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/1."):
-            raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        need, parts, have = int(headers["Content-Length"]) + 4, [held[end + 4 :]], len(held) - end - 4
+            held = (held + piece).lstrip(b"\r\n")
+        version, _, head = held[: end.start()].partition(b"\n")
+        if not version.startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record: {version[:40]!r}")
+        headers = headers_of(head)
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError("a record without a Content-Length")
+        need, parts, have = int(headers["content-length"]) + 2, [held[end.end() :]], len(held) - end.end()
         while have < need:
             piece = next(pieces, None)
             if piece is None:
-                raise EOFError("an archive ends inside a record")
+                break
             parts.append(piece)
             have += len(piece)
         body = b"".join(parts)
-        block, tail, held = body[: need - 4], body[need - 4 : need], body[need:]
-        if tail != b"\r\n\r\n":
+        block, held = body[: need - 2], body[need - 2 :]
+        if len(block) < need - 2 or not held:
+            raise EOFError("an archive ends inside a record")
+        if not held.startswith((b"\r\n", b"\n")):
             raise ValueError("a record doesn't end where its Content-Length says")
-        if headers.get("WARC-Block-Digest", "") not in ("", "sha1:" + sha1_base32(block)):
+        if not digest_fits(headers.get("warc-block-digest"), block):
             raise ValueError("a block digest differs")
         yield headers, block
 
 
+def digest_fits(said: str | None, data: bytes) -> bool:
+    """False if a SHA-1 or SHA-256 digest, in base32 or hexadecimal, is of other bytes; other kinds can't be told."""
+    kind, _, value = (said or "").partition(":")
+    make = {"sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256}.get(kind.lower())
+    if make is None:
+        return True
+    own = make(data).digest()
+    return value.upper().rstrip("=") in (base64.b32encode(own).decode().rstrip("="), own.hex().upper())
+
+
+HOT_KEYS, HOT_LEAST = 100_000, 1_000
+
+
 def with_record_types(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """page_id, url, html, record_type, refers_to. The digest groups are counted before anything large is joined."""
+    """page_id, url, html, record_type, refers_to.
+
+    Digest groups are counted before anything large is joined. Groups of over HOT_LEAST rows and over a
+    HOT_KEYS-th of all meet their pages by a broadcast of at most HOT_KEYS rows, the others by a shuffle that spreads the first.
+    """
     p = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("_d"))
-    last = p.select("_d", "page_id").groupBy("_d").agg(F.max("page_id").alias("_last"))
     size = F.octet_length(F.coalesce("html", F.lit("")))
-    again = (size >= min_revisit) & F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
-    return p.join(last, "_d").select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_last")).alias("refers_to"))
+    last = p.where(size >= min_revisit).select("_d", "page_id").groupBy("_d").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    hot = F.col("_k") > max(HOT_LEAST, pages.count() // HOT_KEYS)
+    p = p.join(F.broadcast(last.where(hot).select("_d", F.col("_last").alias("_hot"))), "_d", "left")
+    spread = F.when(F.col("_hot").isNull(), F.col("_d")).otherwise(F.concat(F.lit("~"), F.xxhash64("page_id", "url").cast("string")))
+    p = p.withColumn("_d", spread).join(last.where(~hot).select("_d", "_last"), "_d", "left").withColumn("_last", F.coalesce("_hot", "_last"))
+    again = F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
+    return p.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_last")).alias("refers_to"))
+
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
-def write_archives(typed: DataFrame) -> DataFrame:
-    """name, n_records, content: gzip archives of about ARCHIVE_BYTES each, made within the tasks."""
+
+def write_archives(typed: DataFrame, folder: str) -> DataFrame:
+    """path, n_records: gzip archives of about ARCHIVE_BYTES each in folder (a URI that pyarrow opens), made within the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = file_system(folder)
+        fs.create_dir(base, recursive=True)
+
         def out() -> pa.RecordBatch:
             content = b"".join(held)
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{hashlib.sha1(content).hexdigest()[:16]}.warc.gz"]), pa.array([len(held)], pa.int64()), pa.array([content], pa.binary())], names=["name", "n_records", "content"])
+            name = f"part-{hashlib.sha1(content).hexdigest()}.warc.gz"
+            part = f"{base}/.{name}.{uuid.uuid4().hex}"
+            with fs.open_output_stream(part, compression=None) as f:
+                f.write(content)
+            fs.move(part, f"{base}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(held)], pa.int64())], names=["path", "n_records"])
 
         held, size = [], 0
         for b in batches:
@@ -127,44 +194,61 @@ def write_archives(typed: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return typed.select("page_id", "url", "html", "record_type", "refers_to").mapInArrow(released(run), "name string, n_records long, content binary")
+    return typed.select("page_id", "url", "html", "record_type", "refers_to").mapInArrow(released(run), "path string, n_records long")
 
 
-READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+READ = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
 
 def read_record(headers: dict[str, str], block: bytes) -> tuple:
+    """A row of READ. The payload is the block, or what follows the HTTP head in it; a revisit has none, its length is what the HTTP head says (null if nothing)."""
+
     def page(name: str) -> int | None:
         m = re.fullmatch(r"<urn:page:(-?\d+)>", headers.get(name, ""))
         return int(m[1]) if m else None
 
-    http, _, payload = block.partition(b"\r\n\r\n")
-    n = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
-    digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-    kind = headers["WARC-Type"]
-    if kind == "response" and (len(payload) != n or sha1_base32(payload) != digest):
-        raise ValueError("a payload differs from its digest or length")
-    return page("WARC-Record-ID"), headers.get("WARC-Target-URI"), kind, page("WARC-Refers-To"), n, digest, payload if kind == "response" else None
+    kind, payload, http = headers.get("warc-type", "").lower(), block, {}
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        head, *rest = _HEAD_END.split(block, 1)
+        http, payload = headers_of(head), rest[0] if rest else b""
+    said = headers.get("warc-payload-digest")
+    if kind == "revisit":
+        n = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+        digest, payload = (said or "").rpartition(":")[2] or None, None
+    else:
+        if "warc-truncated" not in headers and not digest_fits(said, payload):
+            raise ValueError("a payload differs from its digest")
+        n, digest = len(payload), sha1_base32(payload)
+    return headers.get("warc-record-id"), page("warc-record-id"), (headers.get("warc-target-uri") or "").strip("<>") or None, kind, page("warc-refers-to"), n, digest, payload
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of archives(content), for example of spark.read.format("binaryFile")."""
+    """The records of archives(path), read from the open files, or of archives(content), for example of spark.read.format("binaryFile")."""
     names = READ.names if with_payload else READ.names[:-1]
+    column = "content" if "content" in archives.columns else "path"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, READ.field(k).type) for k, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
         for b in batches:
-            for k in range(b.num_rows):
+            for x in b.column(0):
                 rows, size = [], 0
-                for headers, block in records(b.column(0)[k].as_py() or b""):
-                    rows.append(read_record(headers, block)[: len(names)])
-                    size += len(block) if with_payload else 200
-                    if size > ARCHIVE_BYTES:
-                        yield out()
-                        rows, size = [], 0
+                with opened(x.as_py()) as source:
+                    for headers, block in records(source):
+                        rows.append(read_record(headers, block)[: len(names)])
+                        size += len(block) if with_payload else 200
+                        if size > ARCHIVE_BYTES:
+                            yield out()
+                            rows, size = [], 0
                 if rows:
                     yield out()
 
-    return archives.select("content").mapInArrow(released(run), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload)
+    return archives.select(column).mapInArrow(released(run), "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload)
+
+
+def opened(what: str | bytes | None) -> BinaryIO:
+    if isinstance(what, str):
+        fs, path = file_system(what)
+        return fs.open_input_stream(path, compression=None)
+    return io.BytesIO(what or b"")
