@@ -11,11 +11,13 @@ an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MOST_BLOCKS = 1 << 17
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,25 +61,32 @@ def bloom_filter(rules: DataFrame, n_blocks: int) -> DataFrame:
     return rules.select(block.alias("block"), *[w.alias(f"w{i}") for i, w in enumerate(words)]).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)])
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, *, n_blocks: int = 4096, default: str = "allow") -> DataFrame:
+def blocks_for(rules: int) -> int:
+    """A power of two of blocks that gives each rule 16 bits or more, of 4 MB in all at most."""
+    return min(MOST_BLOCKS, 1 << max(6, (rules // 16).bit_length()))
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame, *, n_blocks: int | None = None, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages(page_id, url).
 
-    n_blocks bounds the broadcast filter (40 bytes a block); a longer list wants more blocks, else more
-    false positives reach the exact join. The rule table itself is joined as the planner sees fit.
+    Each row's host suffixes with the listed lengths of its path's prefixes meet the filter by a broadcast of
+    5 MB at most, sized by the number of rules; a longer list passes more to the exact join. Hits are grouped
+    by page and URL, so a URL that many pages have is no group. The rules are joined as the planner sees fit.
     """
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host IS NOT NULL").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    shape = rules.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("path")).alias("lengths")).first()  # the listed paths' lengths are few
+    n_blocks, lengths = n_blocks or blocks_for(shape["n"]), sorted(shape["lengths"])
     host, path = url_parts(F.col("url"))
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # a few: the listed paths' lengths
-    urls = pages.select("url").where("url IS NOT NULL").distinct().select("url", host.alias("u_host"), path.alias("u_path"))
+    rows = pages.select("page_id", "url", host.alias("u_host"), path.alias("u_path"))
     labels = F.split("u_host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*[F.when(F.length("u_path") >= n, F.substring("u_path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
-    probes = urls.where("u_host <> ''").withColumn("host", F.explode(suffixes)).withColumn("path", F.explode(prefixes))
+    probes = rows.where("u_host <> ''").select("page_id", "url", F.explode(suffixes).alias("host"), prefixes.alias("_p")).select("page_id", "url", "host", F.explode("_p").alias("path"))
     block, words = _blocks(_key(F.col("host"), F.col("path")), n_blocks)
-    probes = probes.select("url", "host", "path", block.alias("block"), *[w.alias(f"m{i}") for i, w in enumerate(words)])
-    bloom = bloom_filter(rules, n_blocks)
-    hit = (F.col("m0").bitwiseAND(F.col("w0")) == F.col("m0")) & (F.col("m1").bitwiseAND(F.col("w1")) == F.col("m1")) & (F.col("m2").bitwiseAND(F.col("w2")) == F.col("m2")) & (F.col("m3").bitwiseAND(F.col("w3")) == F.col("m3"))
-    possible = probes.join(F.broadcast(bloom), "block").where(hit).select("url", "host", "path")
-    exact = possible.join(rules, ["host", "path"])
-    best = exact.groupBy("url").agg(F.max(F.struct(F.length(_key(F.col("host"), F.col("path"))).alias("n"), F.length("host").alias("h"), _key(F.col("host"), F.col("path")).alias("rule"), "verdict")).alias("best"))
-    return pages.select("page_id", "url", host.alias("host"), path.alias("path")).join(best, "url", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    probes = probes.select("page_id", "url", "host", "path", block.alias("block"), *[w.alias(f"m{i}") for i, w in enumerate(words)])
+    hit = functools.reduce(Column.__and__, [F.col(f"m{i}").bitwiseAND(F.col(f"w{i}")) == F.col(f"m{i}") for i in range(4)])
+    possible = probes.join(F.broadcast(bloom_filter(rules, n_blocks)), "block").where(hit).select("page_id", "url", "host", "path")
+    key = _key(F.col("host"), F.col("path"))
+    best = possible.join(rules, ["host", "path"]).groupBy(F.col("page_id").alias("_page"), F.col("url").alias("_url")).agg(F.max(F.struct(F.length(key).alias("n"), F.length("host").alias("h"), key.alias("rule"), "verdict")).alias("best"))
+    joined = rows.join(best, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("url") == F.col("_url")), "left")
+    return joined.select("page_id", F.col("u_host").alias("host"), F.col("u_path").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
