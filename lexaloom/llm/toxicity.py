@@ -4,7 +4,8 @@ Labelled texts that name a group are copied with the identity terms swapped for
 the fit penalises the squared change of the score, so that a neutral mention carries no weight.
 
 The classifier is fitted on the driver from at most SAMPLE labelled rows, the first by a hash of their
-ids (a bounded sample is all that a few thousand weights need); every row is scored on its whole text.
+ids, and has weights for the KEEP features with the most evidence at most (a bounded sample is all that a
+few thousand weights need); every row is scored on its whole text.
 
 Defined results: null, empty and letterless texts score as a text without features; labels of null
 ids or null toxic are ignored, of several labels for an id the largest counts; ids that repeat are
@@ -15,7 +16,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,7 +47,12 @@ IDENTITY = [
     ["disabled", "deaf", "blind"],
     ["old", "young"],
 ]
-SWAP = {w.encode(): s[(k + 1) % len(s)].encode() for s in IDENTITY for k, w in enumerate(s)}
+
+
+def swaps(terms: Sequence[Sequence[str]] = IDENTITY) -> dict[bytes, bytes]:
+    """For each term the next of its set; terms are lower-case words, of any language."""
+    return {w.lower().encode(): s[(k + 1) % len(s)].lower().encode() for s in terms for k, w in enumerate(s) if len(s) > 1}
+
 
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -63,15 +69,16 @@ def text_features(words: set[bytes]) -> np.ndarray:
     return np.unique(np.array([f for w in words for f in word_features(w)], np.uint32))
 
 
-def swapped(words: set[bytes]) -> set[bytes] | None:
+def swapped(words: set[bytes], swap: dict[bytes, bytes]) -> set[bytes] | None:
     """The words with identity terms swapped; None where there are none."""
-    return {SWAP.get(w, w) for w in words} if words & SWAP.keys() else None
+    return {swap.get(w, w) for w in words} if words & swap.keys() else None
 
 
 @dataclass
 class ToxicityModel:
     bias: float = -30.0
     weights: dict[int, float] = field(default_factory=dict)
+    pairs: int = 0  # labelled texts with identity terms, whose swapped copies the fit used
 
     def scorer(self):
         """A function from text bytes to the score; words without weights are remembered as such."""
@@ -145,31 +152,32 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], *, l2: float = 1e
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         b -= 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6)
     big = np.abs(w) > 1e-3
-    return ToxicityModel(float(b), dict(zip(kept[big].tolist(), w[big].tolist(), strict=True)))
+    return ToxicityModel(float(b), dict(zip(kept[big].tolist(), w[big].tolist(), strict=True)), len(pairs))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: Sequence[Sequence[str]] = IDENTITY) -> DataFrame:
     """features, swapped, toxic of at most `sample` labelled texts that aren't held out; their ids (8 bytes each) are broadcast."""
+    swap = swaps(terms)
     chosen = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [tokens(x) for x in utf8(b.column(0))]
-            other = [swapped(x) for x in words]
+            other = [swapped(x, swap) for x in words]
             yield pa.RecordBatch.from_arrays([pa.array([text_features(x).tobytes() for x in words], pa.binary()), pa.array([None if x is None else text_features(x).tobytes() for x in other], pa.binary()), b.column(1).cast(pa.int32())], names=["features", "swapped", "toxic"])
 
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(released(run), "features binary, swapped binary, toxic int")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, *, terms: Sequence[Sequence[str]] = IDENTITY, counterfactual: float = 1.0) -> ToxicityModel:
     small_batches(docs.sparkSession)
-    columns = [c.to_pylist() for c in labelled_features(docs, labels, sample).toArrow().columns]
+    columns = [c.to_pylist() for c in labelled_features(docs, labels, sample, terms).toArrow().columns]
     rows = [(np.frombuffer(f, np.uint32), None if s is None else np.frombuffer(s, np.uint32), int(t > 0)) for f, s, t in zip(*columns, strict=True)]
-    return fit(sorted(rows, key=lambda r: (r[2], r[0].tobytes())))
+    return fit(sorted(rows, key=lambda r: (r[2], r[0].tobytes())), counterfactual=counterfactual)
 
 
 def scored(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -184,6 +192,6 @@ def scored(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(released(run), ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "score double"]))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
-    return scored(docs, train(docs, labels, sample)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, *, terms: Sequence[Sequence[str]] = IDENTITY, counterfactual: float = 1.0) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs. terms: sets of identity words that may stand for each other."""
+    return scored(docs, train(docs, labels, sample, terms=terms, counterfactual=counterfactual)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
