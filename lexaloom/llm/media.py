@@ -10,6 +10,7 @@ parts and a null payload; equal bytes give equal values; other columns of the in
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import released, utf8
 
+_UPDATE = re.compile(rb"\s*(\d+ \d+ obj|xref|startxref|%[^%P])")
 PAD_TO, PAD = 576, b"\xff"
 RATE = 16_000
 
@@ -130,16 +132,24 @@ def _bmp_length(b: bytes, at: int) -> int:
 
 
 def _pdf_length(b: bytes, at: int) -> int:
+    """Up to the last %%EOF of the file's sections: updates follow with objects, tables and a startxref of their own."""
     end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b[at + 5 : at + 6].isdigit() and b"startxref" in b[at:end] else 0
+    if end < 0 or not b[at + 5 : at + 6].isdigit() or b"startxref" not in b[at:end]:
+        return 0
+    end += 5
+    while (more := b.find(b"%%EOF", end)) >= 0 and _UPDATE.match(b, end) and b"startxref" in b[end:more] and b"%PDF-" not in b[end:more]:
+        end = more + 5
+    return end - at
 
 
 def _zip_length(b: bytes, at: int) -> int:
     end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + note - at if offset + size == end - at and end + 22 + note <= len(b) else 0
+    while end >= 0 and end + 22 <= len(b):  # the first end record that fits the start: members may hold others
+        size, offset, note = struct.unpack_from("<IIH", b, end + 12)
+        if offset + size == end - at and end + 22 + note <= len(b):
+            return end + 22 + note - at
+        end = b.find(b"PK\x05\x06", end + 1)
+    return 0
 
 
 def _gzip_length(b: bytes, at: int) -> int:
@@ -153,17 +163,83 @@ def _gzip_length(b: bytes, at: int) -> int:
     return min(k, len(b)) - len(d.unused_data) - at if d.eof else 0
 
 
+@cache
+def crc_table(bits: int, poly: int) -> list[int]:
+    """Of a CRC that takes the high bit first and starts at 0."""
+    top, mask, out = 1 << bits - 1, (1 << bits) - 1, []
+    for k in range(256):
+        c = k << bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ poly if c & top else c << 1) & mask
+        out.append(c)
+    return out
+
+
+def _flac_head(b: bytes, at: int, blocks: tuple[int, int]) -> tuple[int, int]:
+    """The length of a FLAC frame's head and the samples in it; zeros if there is no frame or its CRC-8 differs."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or b[at + 3] & 1:
+        return 0, 0
+    size, rate = b[at + 2] >> 4, b[at + 2] & 15
+    first = b[at + 4]
+    more = 0 if first < 0x80 else next((k for k in range(1, 7) if not first << k + 1 & 0x80), 0)
+    k = at + 5 + more
+    if not size or rate == 15 or k + 4 > len(b) or first & 0xC0 == 0x80:
+        return 0, 0
+    if size in (6, 7):
+        n = int.from_bytes(b[k : k + size - 5], "big") + 1
+        k += size - 5
+    else:
+        n = 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+    k += (0, 1, 2, 2)[rate - 11] if rate >= 12 else 0
+    c, table = 0, crc_table(8, 0x07)
+    for x in b[at:k]:
+        c = table[c ^ x]
+    return (k + 1 - at, n) if k < len(b) and b[k] == c and n <= max(blocks) else (0, 0)
+
+
 def _flac_length(b: bytes, at: int) -> int:
-    return len(b) - at if at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22" else 0
+    """Metadata blocks, then frames, each ended by its CRC-16, up to the samples that the stream names or the last frame."""
+    if at + 42 > len(b) or b[at + 4] & 0x7F or b[at + 5 : at + 8] != b"\0\0\x22":
+        return 0
+    blocks, total = struct.unpack_from(">HH", b, at + 8), int.from_bytes(b[at + 21 : at + 26], "big") & (1 << 36) - 1
+    k, last = at + 4, 0
+    while not last:
+        if k + 4 > len(b):
+            return 0
+        last = b[k] & 0x80
+        k += 4 + int.from_bytes(b[k + 1 : k + 4], "big")
+    if k > len(b):
+        return 0
+    done, table = 0, crc_table(16, 0x8005)
+    head, n = _flac_head(b, k, blocks)
+    while head and (not total or done < total):
+        c, end = 0, 0
+        for p in range(k, len(b)):
+            c = (c << 8 & 0xFFFF) ^ table[c >> 8 ^ b[p]]
+            if not c and p >= k + head + 2:
+                after = _flac_head(b, p + 1, blocks)
+                if after[0] or not total or done + n >= total:
+                    end = p + 1
+                    break
+        if not end:
+            return 0
+        k, done, (head, n) = end, done + n, after
+    return k - at if not total or done >= total else 0
 
 
 def _ogg_length(b: bytes, at: int) -> int:
-    k = at
+    """Pages whose CRC-32 fits, one behind the other."""
+    k, table = at, crc_table(32, 0x04C11DB7)
     while b[k : k + 5] == b"OggS\0" and k + 27 <= len(b):
         segments = b[k + 27 : k + 27 + b[k + 26]]
         end = k + 27 + len(segments) + sum(segments)
-        if end > len(b):
-            return 0
+        if end > len(b) or len(segments) < b[k + 26]:
+            break
+        c = 0
+        for x in b[k : k + 22] + bytes(4) + b[k + 26 : end]:
+            c = (c << 8 & 0xFFFFFFFF) ^ table[c >> 24 ^ x]
+        if c != struct.unpack_from("<I", b, k + 22)[0]:
+            break
         k = end
     return k - at
 
