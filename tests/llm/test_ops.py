@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import io
 import itertools
 import random
+import zipfile
 import zlib
 
 import numpy as np
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexaloom.llm import chat, decontam, jaccard, langid, media, mixing, suffix, toxicity, url_filter, warc
+from lexaloom.llm.common import stored
 from lexaloom.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -252,7 +255,7 @@ def test_counterfactual_penalty_moves_identity_weights(spark):
     for i in range(400):
         y = i % 2
         words = {b"bad" if y and r.random() < 0.8 else b"fine", b"muslim" if r.random() < (0.8 if y else 0.2) else b"christian"}
-        rows.append((toxicity.text_features(words), toxicity.text_features(toxicity.swapped(words)), y))
+        rows.append((toxicity.text_features(words), toxicity.text_features(toxicity.swapped(words, toxicity.swaps())), y))
 
     def gap(strength):
         score = toxicity.fit(rows, counterfactual=strength).scorer()
@@ -284,9 +287,9 @@ def test_language_models(spark):
 
 def test_kneser_ney_probabilities_sum_to_one():
     model = langid.fit(language_rows())
-    n = int(model.symbols.max()) + 1
-    for context in (0, 5 << 24 | 6 << 12 | 7):
-        p = model._prob(4, (context << 12) | np.arange(n))
+    n, bits = int(model.symbols.max()) + 1, langid.BITS
+    for context in (0, 5 << 2 * bits | 6 << bits | 7):
+        p = model._prob(4, np.uint64(context << bits) | np.arange(n, dtype=np.uint64))
         assert p.sum(0) == pytest.approx(np.ones(3), abs=1e-6)
 
 
@@ -357,10 +360,10 @@ def test_chat_repeated_turns(spark):
 PAGES = "page_id long, url string, html string"
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/ b\r\nX: y", "<p>é</p>"), (2, None, None), (3, "u", ""), (4, "v", "<p>é</p>"), (4, "w", "<p>é</p>"), (None, "n", "<p>é</p>"), (None, "m", "alone"), (9, "z", "q" * 200_000)]
     pages = spark.createDataFrame(rows, PAGES).withColumn("refers_to", F.lit(5))
-    archives = warc.write_archives(warc.with_record_types(pages))
+    archives = stored(warc.write_archives(warc.with_record_types(pages), str(tmp_path)), "archives")
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(archives).collect()), key=repr)
     want = []
     for page, _, html in rows:
@@ -369,7 +372,10 @@ def test_warc_round_trip(spark):
         again = last is not None and page != last
         want.append((page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", last if again else None))
     assert got == sorted(want, key=repr)
-    assert warc.read_archives(warc.write_archives(warc.with_record_types(pages.limit(0)))).count() == 0
+    assert {p.name for p in tmp_path.iterdir()} == {r.path.rsplit("/", 1)[1] for r in archives.collect()} and all(p.name.endswith(".warc.gz") for p in tmp_path.iterdir())
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.warc.gz"))
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(files).collect()), key=repr) == got
+    assert warc.read_archives(warc.write_archives(warc.with_record_types(pages.limit(0)), str(tmp_path))).count() == 0
 
 
 def test_warc_damage_is_found():
@@ -532,3 +538,250 @@ def test_every_confirmed_overlap_has_a_seed():
                 text[list(at)] += np.uint64(1)
                 assert decontam.overlap(text, item, 0)[2]
                 assert any((a == b).any() for a, b in zip(decontam.seeds(text), listed, strict=True)), (n, at)
+
+
+def test_warc_reads_other_producers():
+    def rec(kind, block, extra="", sep=": ", eol="\r\n", http=False):
+        head = eol.join(["WARC/1.0", f"WARC-Type{sep}{kind}", f"warc-record-id{sep}<urn:uuid:{kind}>", *([f"Content-type{sep}application/http;msgtype={kind}"] if http else []), *([extra] if extra else []), f"content-length{sep}{len(block)}"])
+        return (head + eol * 2).encode() + block + b"\r\n\r\n"
+
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>no length</p>"
+    whole = [
+        rec("warcinfo", b"software: a\r\nformat: WARC\r\n"),
+        rec("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", http=True),
+        rec("response", page, "WARC-Target-URI:<http://x/>\r\n  ", sep=":", http=True),
+        rec("metadata", b"fetchTimeMs: 7", eol="\n"),
+        rec("resource", b"", "X-Folded: a\r\n\tb"),
+        rec("conversion", b"text " * 50_000, "WARC-Payload-Digest: sha1:" + hashlib.sha1(b"text " * 50_000).hexdigest()),
+    ]
+    want = [("warcinfo", 27), ("request", 0), ("response", 16), ("metadata", 14), ("resource", 0), ("conversion", 250_000)]
+    for archive in (b"".join(map(warc.member, whole)), warc.member(b"".join(whole)), b"".join(whole)):
+        got = [warc.read_record(h, b) for h, b in warc.records(archive)]
+        assert [(r[3], r[5]) for r in got] == want and got[2][2] == "http://x/" and got[0][1] is None and got[0][0] == "<urn:uuid:warcinfo>"
+        assert [h.get("x-folded") for h, _ in warc.records(archive)][4] == "a b"
+    with pytest.raises(ValueError):
+        list(warc.records(b"not a record\r\n\r\n"))
+    with pytest.raises(ValueError):
+        [warc.read_record(h, b) for h, b in warc.records(rec("resource", b"other", "WARC-Payload-Digest: sha1:" + "A" * 32))]
+
+
+def test_language_letters_beyond_a_small_alphabet():
+    han = [chr(0x4E00 + k) for k in range(6000)] + [chr(0xAC00 + k) for k in range(500)]
+    r = random.Random(3)
+    model = langid.fit([("zh", "".join(r.sample(han[:6000], 3000))) for _ in range(8)] + [("ko", "".join(r.choices(han[6000:], k=400))) for _ in range(8)] + language_rows(n=30))
+    assert len(set(model.symbols[[ord(c) for c in han]].tolist())) > 6400
+    assert model.predict(["".join(r.choices(han[6000:], k=50)), "".join(r.choices(han[:6000], k=50))])[0] == ["ko", "zh"]
+
+
+def test_many_languages_in_groups(monkeypatch):
+    rows = language_rows()
+    texts = [t for _, t in rows[:30]]
+    whole = langid.fit(rows)
+    monkeypatch.setattr(langid, "GROUP", 2)
+    parts = langid.fit(rows)
+    assert len(parts.groups) == 2 and len(whole.groups) == 1
+    assert parts.entropies(texts)[0] == pytest.approx(whole.entropies(texts)[0])
+
+
+def brute_kneser_ney(rows, lang, text):
+    """Cross-entropy of a text by interpolated Kneser-Ney counts in plain dictionaries."""
+    letters = {c for _, t in rows for c in t.lower() if c.isalpha()}
+    sym = lambda t: [" "] * 3 + [(c if c in letters else "?") if c.isalpha() else " " for c in t.lower()]
+    grams = [{} for _ in range(5)]
+    for g, t in rows:
+        if g == lang:
+            s = sym(t)
+            for k in range(3, len(s)):
+                x = tuple(s[k - 3 : k + 1])
+                grams[4][x] = grams[4].get(x, 0) + 1
+    for n in (3, 2, 1):
+        for x in grams[n + 1]:
+            grams[n][x[1:]] = grams[n].get(x[1:], 0) + 1
+
+    def p(x):
+        if not x:
+            return 1 / (len(letters) + 2)
+        same = {k: v for k, v in grams[len(x)].items() if k[:-1] == x[:-1]}
+        total = sum(same.values())
+        if not total:
+            return p(x[1:])
+        return max(same.get(x, 0) - 0.75, 0) / total + 0.75 * len(same) / total * p(x[1:])
+
+    s = sym(text)
+    return -sum(np.log(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))) / (len(s) - 3)
+
+
+def test_entropies_match_plain_kneser_ney():
+    rows = language_rows(n=24)
+    model = langid.fit(rows)
+    texts = [rows[0][1][:40], "schleuf 7 ta", "é ß ou"]
+    e, _ = model.entropies(texts)
+    for k, t in enumerate(texts):
+        assert e[k] == pytest.approx([brute_kneser_ney(rows, g, t) for g in model.languages])
+
+
+def test_language_clashing_names(spark):
+    rows = language_rows(n=60)
+    df = spark.createDataFrame([(i, t, g, "s", None) for i, (g, t) in enumerate(rows)], DOCS).withColumns({c: F.lit("7") for c in ("lang_pred", "rejected", "score", "held_out")})
+    assert all(g.lang_pred == rows[g.doc_id][0] for g in langid.identify_languages(df).collect())
+
+
+def test_counterfactual_penalty_end_to_end(spark):
+    """Group names go with the label in training; mentions of the rarer group in harmless texts are what the penalty is to leave alone."""
+    r, words = random.Random(16), vocabulary()
+    texts, labels = [], []
+    for i in range(900):
+        w = [r.choice(words) for _ in range(r.randint(8, 15))]
+        toxic = i % 3 == 0
+        if toxic and r.random() < 0.75:
+            w[2] = "zzidiot"
+        w[5] = "zzgroupa" if r.random() < (0.95 if toxic else 0.08) else "zzgroupb"
+        texts.append(" ".join(w))
+        labels.append((i, 0, int(toxic)))
+    neutral = [" ".join([r.choice(words) for _ in range(10)] + ["zzgroupa"]) for _ in range(100)]
+    df, marks = docs_of(spark, texts + neutral), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    false = {}
+    for strength in (0.0, 30.0):
+        got = toxicity.score_toxicity(df, marks, terms=[["zzgroupa", "zzgroupb"]], counterfactual=strength).collect()
+        false[strength] = sum(g.predicted for g in got if g.doc_id >= 900)
+    assert false[0.0] >= 90 and false[30.0] <= 10
+    assert toxicity.train(df, marks, terms=[["zzgroupa", "zzgroupb"]]).pairs > 600 and toxicity.train(df, marks).pairs == 0
+
+
+def test_toxicity_fit_matches_plain_descent():
+    """The fit's objective against plain gradient descent with dense numbers."""
+    r = random.Random(12)
+    rows, y = [], []
+    for i in range(300):
+        t = i % 2
+        words = {w for w in (b"aa", b"bb", b"cc", b"dd") if r.random() < (0.7 if (w in (b"aa", b"bb")) == bool(t) else 0.25)}
+        rows.append((toxicity.text_features(words), None, t))
+        y.append(t)
+    model = toxicity.fit(rows)
+    names = sorted(model.weights)
+    x = np.array([[f in set(row[0].tolist()) for f in names] for row in rows], float)
+    y = np.array(y, float)
+
+    def loss(w, b):
+        z = x @ w + b
+        return float(np.mean(np.log1p(np.exp(z)) - y * z) + 1e-4 / 20 * (w @ w))
+
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(6000):
+        g = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w -= 0.5 * (x.T @ g / len(y) + 1e-4 / 10 * w)
+        b -= 0.5 * g.mean()
+    assert loss(np.array([model.weights[n] for n in names]), model.bias) == pytest.approx(loss(w, b), abs=2e-4)
+    score = model.scorer()
+    z = sum(model.weights.get(f, 0) for f in toxicity.text_features({b"aa", b"zz"}).tolist()) + model.bias
+    assert score(b"aa ZZ aa") == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_repeated_rows(spark):
+    texts, labels = toxic_corpus(spark)
+    got = toxicity.score_toxicity(docs_of(spark, texts + texts[:20], ids=[*range(600), *range(20)]), labels).collect()
+    assert len(got) == 620 and len({(g.doc_id, g.score) for g in got}) == 600
+
+
+def flac(frames, total):
+    def crc(data, bits, poly):
+        c, t = 0, media.crc_table(bits, poly)
+        for x in data:
+            c = (c << 8 & (1 << bits) - 1) ^ t[c >> bits - 8 ^ x]
+        return c.to_bytes(bits // 8, "big")
+
+    info = b"\x10\x00\x10\x00" + bytes(6) + (16000 << 44 | 7 << 36 | total).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + b"\x80\0\0\x22" + info
+    for k, body in enumerate(frames):
+        head = bytes([0xFF, 0xF8, 0x10, 0x00, k])
+        frame = head + crc(head, 8, 0x07) + body
+        out += frame + crc(frame, 16, 0x8005)
+    return out
+
+
+def test_media_ends_are_found():
+    r = random.Random(4)
+    sound = flac([r.randbytes(200) for _ in range(3)], 3 * 192)
+    pdf = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\nstartxref\n9\n%%EOF"
+    updated = pdf + b"\n2 0 obj\n<<>>\nendobj\nxref\nstartxref\n50\n%%EOF"
+    for first, kind in ((sound, "audio/flac"), (updated, "application/pdf"), (zip_of(zip_of(b"x")), "application/zip")):
+        blob = first + png() + b"tail" + pdf
+        assert media.found_media(blob)[:2] == [(0, len(first), kind), (len(first), len(png()), "image/png")], kind
+    assert media.found_media(sound[:-1]) == [] and media._flac_length(flac([r.randbytes(50)], 0) + b"more", 0) == len(flac([bytes(50)], 0))
+
+
+def zip_of(data):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a", data)
+    return out.getvalue()
+
+
+def test_media_null_and_repeated_ids(spark):
+    got = media.media_digests(docs_of(spark, ["a", "a", "b"], ids=[None, None, 4])).collect()
+    assert sorted((g.doc_id or 0, g.n_bytes) for g in got) == [(0, 1), (0, 1), (4, 1)] and len({g.payload_sha256 for g in got}) == 2
+
+
+def test_url_filter_long_urls_and_ties(spark):
+    long = "http://" + "a." * 2000 + "example.org/" + "x/" * 20_000
+    rules = url_filter.rule_table(spark, [("example.org", "/", "block"), ("EXAMPLE.org", "/", "allow"), ("org", "/x", "block"), ("org", "/" + "x/" * 4, "allow")])
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "http://b.org/x/x/x/x/1")], "page_id long, url string")
+    got = sorted((g.page_id, g.rule, g.verdict) for g in url_filter.filter_urls(pages, rules).collect())
+    assert got == [(1, "example.org/", "block"), (1, "example.org/", "block"), (2, "org/x/x/x/x/", "allow")]
+
+
+def test_repeated_rows_in_crowded_buckets(spark, monkeypatch):
+    """Equal rows in different tasks whose stretches are crowded in each."""
+    monkeypatch.setattr(suffix, "HEAVY", 1)
+    r, words = random.Random(31), vocabulary()
+    line = " ".join(r.choice(words) for _ in range(30))
+    texts = [" ".join(r.choice(words) for _ in range(12)) + line + " ".join(r.choice(words) for _ in range(12)) for _ in range(12)]
+    df = docs_of(spark, texts + texts, ids=[*range(12), *range(12)]).repartition(3)
+    got = suffix.deduplicated(df).collect()
+    assert len(got) == 24 and all(g.n_removed == g.n_bytes for g in got)
+
+
+def test_refinement_matches_plain_windows():
+    r = random.Random(1)
+    for t in range(40):
+        base = bytes(r.choices(b"ab" if t % 2 else b"abcdefgh", k=400))
+        parts = []
+        for _ in range(r.randint(1, 12)):
+            k = r.randint(0, 250)
+            x = bytearray(base[k : k + r.randint(200, 340)] if r.random() < 0.8 else bytes(r.choices(b"ab", k=r.randint(200, 300))))
+            if len(x) > 50 and r.random() < 0.4:
+                x[r.randrange(len(x))] = 99
+            parts.append(bytes(x))
+        seen = {}
+        for i, x in enumerate(parts):
+            for k in range(len(x) - 199):
+                seen.setdefault(x[k : k + 200], []).append((i, k))
+        own, within = suffix.repeated_windows(parts)
+        assert list(zip(own.tolist(), within.tolist(), strict=True)) == sorted(p for v in seen.values() if len(v) > 1 for p in v)
+
+
+def test_heap_merge_matches_plain_counts():
+    r = random.Random(7)
+    for _ in range(200):
+        lists = [sorted(r.sample(range(40), r.randint(1, 20))) for _ in range(r.randint(1, 9))]
+        weights, least = [r.randint(1, 4) for _ in lists], r.randint(1, 12)
+        want = {d: n for d in range(40) if (n := sum(w for x, w in zip(lists, weights, strict=True) if d in x)) >= least}
+        assert dict(zip(*jaccard.heap_merged(lists, weights, least), strict=True)) == want
+
+
+def test_bit_tables_hold_their_keys(spark, monkeypatch):
+    keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
+    monkeypatch.setattr(decontam, "LEAST_BITS", 17)
+    table = decontam.BitTable(decontam.bit_table(spark.createDataFrame([(int(k),) for k in keys], "hash long")))
+    other = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 5000)
+    assert table.may_hold(keys).all() and table.may_hold(other).mean() < 0.01
+    assert decontam.table_bits(1) == 17 and decontam.table_bits(1 << 40) == decontam.MOST_BITS
+
+
+def test_hubs_of_components(spark, monkeypatch):
+    from lexaloom.llm import components
+
+    monkeypatch.setattr(components, "LEAST", 10)
+    edges = [(500, k) for k in range(100)] + [(1000, 2000 + k) for k in range(50)] + [(2049, 3000)]
+    got = {g.node: g.root for g in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in (*range(100), 500)}, **{k: 1000 for k in (1000, *range(2000, 2050), 3000)}}
