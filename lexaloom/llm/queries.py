@@ -94,6 +94,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target, CAST(coalesce(sum(CASE WHEN b >= 0 THEN
             (least(start + size, (b + 1) * source_size // n_blocks) - greatest(start, b * source_size // n_blocks)) * (takes // n_blocks + CASE WHEN b < takes % n_blocks THEN 1 ELSE 0 END) END), 0) AS BIGINT) AS taken
         FROM x GROUP BY doc_id, size, source_size, target, start, h""",
+    "op3_suffix_array_dedup": """
+        WITH t AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS t, hex(t) AS h FROM documents),
+        w AS MATERIALIZED (SELECT r, i, hash(t[i + 1:i + 200]) AS x FROM t, LATERAL unnest(range(0, CAST(octet_length(t) - 199 AS BIGINT))) u(i)),
+        m AS (SELECT r, i FROM w WHERE x IN (SELECT x FROM w GROUP BY x HAVING count(*) > 1)),
+        g AS (SELECT r, i, sum(CASE WHEN i > before + 200 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM m)),
+        s AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, run),
+        c AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS gone, count(*) AS spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM s GROUP BY r),
+        k AS (SELECT doc_id, h, coalesce(gone, 0) AS gone, coalesce(spans, 0) AS spans, CASE WHEN c.r IS NULL THEN h ELSE
+              array_to_string(list_transform(list_zip(list_prepend(0, ends), list_append(starts, length(h) // 2)), lambda z: substr(h, 2 * z[1] + 1, 2 * (z[2] - z[1]))), '') END AS kept FROM t LEFT JOIN c USING (r))
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k""",
     "op4_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
         s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
@@ -104,6 +114,16 @@ ORACLES: dict[str, str] = {
         l AS MATERIALIZED (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
         r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
         SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2""",
+    "op6_media_columns": """
+        WITH tab AS (SELECT list(list_reduce(list_prepend(k, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t FROM (SELECT CAST(range AS BIGINT) AS k FROM range(256))),
+        d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT doc_id, length(h) // 2 AS n, greatest(576, (length(h) // 2 + 575) // 576 * 576) AS m, h FROM d),
+        q AS (SELECT doc_id, n, m, h || repeat('FF', CAST(m - n AS BIGINT)) AS h FROM p),
+        v AS (SELECT *, list_transform([36 + m, m], lambda x: array_to_string(list_transform([0, 8, 16, 24], lambda k: printf('%02X', CAST((CAST(x AS BIGINT) >> k) & 255 AS INT))), '')) AS le FROM q),
+        w AS (SELECT *, hex('RIFF') || le[1] || hex('WAVEfmt ') || '1000000001000100803E0000803E000001000800' || hex('data') || le[2] || h AS media FROM v)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+               xor(list_reduce(list_prepend(4294967295, list_transform(range(32), lambda k: CAST('0x' || substr(h, CAST(2 * (m - 32 + k) + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS tail_crc32,
+               CAST(m + 44 AS BIGINT) AS media_bytes, sha256(unhex(media)) AS media_sha256, 'audio/wav;samples=' || m || ';embedded=0' AS feature FROM w, tab""",
     "op7_chat_formatting": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -126,6 +146,18 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> last THEN last END AS refers_to
         FROM v""",
+    "op9_decontamination": r"""
+        WITH dw AS (SELECT doc_id, w, i - 1 AS p FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents))),
+        bi AS MATERIALIZED (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM benchmark),
+        bw AS (SELECT item_id, n, w, i - 1 AS p FROM (SELECT item_id, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM bi WHERE len(ws) >= 5)),
+        e AS MATERIALIZED (SELECT doc_id, item_id, least(n, 13) AS need, n, dw.p - bw.p AS shift, dw.p AS p FROM dw JOIN bw USING (w)),
+        l AS MATERIALIZED (SELECT doc_id, item_id, shift, need, n, list(p ORDER BY p) AS ps FROM e GROUP BY doc_id, item_id, shift, need, n HAVING count(*) * 13 >= need * 10),
+        size AS (SELECT doc_id, max(p) + 1 AS words FROM dw GROUP BY doc_id),
+        x AS (SELECT l.*, unnest(range(greatest(0, shift), least(words, shift + n) - need + 1)) AS a FROM l JOIN size USING (doc_id)),
+        good AS (SELECT doc_id, item_id, shift, need, any_value(ps) AS ps, min(a) AS lo, max(a) + need AS hi FROM x WHERE len(list_filter(ps, lambda q: q >= a AND q < a + need)) * 13 >= need * 10 GROUP BY doc_id, item_id, shift, need),
+        o AS (SELECT doc_id, item_id, lo, hi, len(list_filter(ps, lambda q: q >= lo AND q < hi)) AS k FROM good)
+        SELECT doc_id, item_id, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS end_word, CAST(k AS BIGINT) AS equal_words FROM o
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k DESC, lo, hi DESC) = 1""",
     "op10_url_filters": """
         WITH r(h, p, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
         a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
