@@ -239,13 +239,10 @@ def label_of_uri(uri: Column) -> Column:
 
 
 def person_labels(label: Column) -> Column:
-    """All ordered sub-combinations of a name's words (of the first ten words)."""
-
-    def made(parts: Column) -> Column:
-        used = F.filter(F.sequence(F.lit(1), F.lit(1023)), lambda m: m < F.pow(F.lit(2), F.size(parts)))
-        return F.array_distinct(F.transform(used, lambda m: F.array_join(F.filter(parts, lambda w, i: F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2)) == 1), " ")))
-
-    return let(F.slice(words(label), 1, 10), made)
+    """All ordered sub-combinations of a name's words, of which a name of n words has 2^n - 1: each word joins those made before it."""
+    kind = "array<string>"
+    made = F.aggregate(words(label), F.array(F.lit("")), lambda acc, w: F.concat(acc, F.transform(acc, lambda x: F.when(x == "", w).otherwise(F.concat(x, F.lit(" "), w)))))
+    return F.array_distinct(F.filter(made.cast(kind), lambda x: x != ""))
 
 
 def label_variant(label: Column, *, lower: bool = False, spaces: bool = True) -> Column:

@@ -57,22 +57,23 @@ def greedy_links(sentences: DataFrame, labels: DataFrame, *, key: str = "sent_id
     """key, start, stop, label, uri: from the left, the longest span of up to max_tokens tokens that is a label, then on after it.
 
     guard_titles rejects spans that touch a capitalised token on either side (the last token of a sentence
-    apart). Spans are cut no longer than the longest label, filtered by first tokens that begin a label,
-    and joined on their text; the scan is a fold over each sentence's hits.
+    apart). Spans start with a token that begins a label and are no longer than the longest of those labels;
+    they are joined on their text, and the scan is a fold over each sentence's hits.
     """
     labels = labels.select("label", "uri").groupBy("label").agg(F.min("uri").alias("uri"))
-    longest = labels.agg(F.least(F.max(F.size(F.split("label", " "))), F.lit(max_tokens))).first()[0] or 0
-    firsts = labels.select(F.substring_index("label", " ", 1).alias("first")).distinct()
-    t = sentences.select(key, "tokens")
-    starts = t.select(key, "tokens", F.posexplode("tokens").alias("start", "first")).join(firsts, "first", "left_semi")
-    stops = starts.withColumn("stop", F.explode(F.sequence(F.col("start") + 1, F.least(F.size("tokens"), F.col("start") + max(longest, 1)))))
+    sizes = F.least(F.size(F.split("label", " ")), F.lit(max_tokens))
+    firsts = labels.groupBy(F.substring_index("label", " ", 1).alias("first")).agg(F.max(sizes).alias("most"))
+    longest = firsts.agg(F.max("most")).first()[0] or 1
+    t = sentences.where(F.size("tokens") > 0).select(key, "tokens")
+    each = F.transform("tokens", lambda x, i: F.struct(i.alias("start"), x.alias("first"), F.slice("tokens", i + 1, longest + 1).alias("w"), F.get("tokens", i - 1).alias("prev")))
+    starts = t.select(key, F.size("tokens").alias("n"), F.explode(each).alias("x")).select(key, "n", "x.*").join(firsts, "first")
+    stops = starts.withColumn("stop", F.explode(F.sequence(F.col("start") + 1, F.least("n", F.col("start") + F.col("most")))))
     ok = ~((F.col("start") == 0) & (F.col("stop") == 1)) if skip_first_alone else F.lit(True)
     if guard_titles:
         upper = r"^\p{Lu}"
-        after = (F.col("stop") + 1 < F.size("tokens")) & F.try_element_at("tokens", F.col("stop") + 1).rlike(upper)
-        before = (F.col("start") > 0) & F.try_element_at("tokens", F.greatest(F.col("start"), F.lit(1))).rlike(upper)
-        ok = ok & ~F.coalesce(after, F.lit(False)) & ~F.coalesce(before, F.lit(False))
-    spans = stops.where(ok).select(key, "start", "stop", F.array_join(F.slice("tokens", F.col("start") + 1, F.col("stop") - F.col("start")), " ").alias("label"))
+        after = (F.col("stop") + 1 < F.col("n")) & F.get("w", F.col("stop") - F.col("start")).rlike(upper)
+        ok = ok & ~F.coalesce(after, F.lit(False)) & ~F.coalesce(F.col("prev").rlike(upper), F.lit(False))
+    spans = stops.where(ok).select(key, "start", "stop", F.array_join(F.slice("w", F.lit(1), F.col("stop") - F.col("start")), " ").alias("label"))
     hits = spans.join(labels, "label").groupBy(key, "start").agg(F.max(F.struct("stop", "label", "uri")).alias("h"))
     taken = hits.groupBy(key).agg(greedy_spans(F.collect_list(F.struct("start", F.col("h.stop").alias("stop"), F.col("h.label").alias("label"), F.col("h.uri").alias("uri")))).alias("taken"))
     return taken.select(key, F.explode("taken").alias("s")).select(key, "s.start", "s.stop", "s.label", "s.uri")

@@ -60,6 +60,21 @@ def substitution_patterns(counts: DataFrame, substitutions: DataFrame, min_count
     return slots.select(F.array_join(replaced_at(F.col("w"), F.col("place")), " ").alias("pattern"), "substitution", "cnt").groupBy("pattern", "substitution").agg(F.sum("cnt").alias("cnt"))
 
 
+def pattern_counts(sentences: DataFrame, substitutions: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), tokens: str = "tokens") -> DataFrame:
+    """What substitution_patterns makes of the n-gram counts, from the token arrays: only windows round a substitution
+    are made and counted. substitutions(word) are a task's vocabulary, one row of an array."""
+    subs = F.broadcast(substitutions.agg(F.collect_set("word").alias("_subs")))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.array_contains("_subs", F.get(F.col(tokens), i - 1)))
+    at = sentences.where(F.size(tokens) > 0).join(subs).select(tokens, places.alias("_at")).where(F.size("_at") > 0)
+
+    def windows(i):  # the window of n that has the slot as its k-th token
+        ways = [(n, k) for n in sizes for k in range(n)]
+        return F.filter(F.array(*[F.when((i - k >= 1) & (i - k + n - 1 <= F.size(tokens)), F.struct(F.array_join(F.concat(F.slice(tokens, F.greatest(i - k, F.lit(1)), k), F.array(F.lit(SLOT)), F.slice(tokens, i + 1, n - 1 - k)), " ").alias("pattern"), F.get(F.col(tokens), i - 1).alias("substitution"))) for n, k in ways]), lambda x: x.isNotNull())
+
+    rows = at.select(F.explode(F.flatten(F.transform("_at", windows))).alias("x")).select("x.pattern", "x.substitution")
+    return rows.groupBy("pattern", "substitution").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def frequencies(queries: DataFrame, counts: DataFrame, patterns: DataFrame, substitutions: DataFrame) -> DataFrame:
     """query, ngram, cnt for queries(query): plain n-grams of 1 to 3 words and SUB patterns of 1 to 4, zeros included.
 

@@ -29,8 +29,11 @@ class Tables:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, stored in the folder that driver and executors share (one of our own where none is set)."""
+    """df with its lineage cut, stored in the folder that driver and executors share; one of our own only on a local master where none is set."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexaloom-"))
+        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not folder and master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexaloom-"))
     return df.checkpoint()
