@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaloom.llm.common import stored, table
+from lexaloom.llm.common import scratch, stored, table
 from lexaloom.llm.decontam import decontaminated
 from lexaloom.llm.jaccard import one_of_each
 from lexaloom.llm.mixing import mix
@@ -36,7 +36,7 @@ def own_names(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Cal
 
 @own_names
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows whose score is below the threshold."""
+    """The rows whose score is below the threshold; null and empty texts score as texts without features, repeated rows are judged each."""
     model = train(docs, table(spark, sf_dir, "labels"))
     return scored(docs, model, keep=tuple(docs.columns)).where(F.col("score") < THRESHOLD).drop("score")
 
@@ -56,12 +56,12 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @own_names
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that overlap with no benchmark item."""
+    """The rows that overlap with no benchmark item; null, empty and short texts overlap with none, repeated rows go or stay together."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row."""
+    """doc_id, size, source_size, target, taken of each row; null and wordless texts have size 0, repeated rows are separate texts, an empty table gives no rows."""
     return mix(docs)
 
 
@@ -81,5 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of sf_dir, each written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage stores on its way goes when its result is written
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -496,7 +496,7 @@ def ontology_parent(spark, sf):
     return typed.parent_below(kinds, tree, "Thing")
 
 
-@query()
+@query(f"WITH RECURSIVE {GREEDY}, {LINKED}, {TYPO}, {CTX} SELECT context_id, CAST(0 AS INT) AS level, type, round(sum(prob), 6) AS prob FROM pp GROUP BY context_id, type")
 def predict_types_full(spark, sf):
     out = typed.hierarchical_types(contexts(spark, sf), typograms_table(spark, sf), checkpointed(type_tree(spark, sf)), "Thing")
     return out.withColumn("prob", F.round("prob", 6))
@@ -529,7 +529,17 @@ def prior_link(spark, sf):
     return linking.prior_links(linking.pruned(found_candidates(spark, sf)))
 
 
-@query()
+NAMES = """lb AS (SELECT uri, unnest(list_distinct(list_filter([trim(replace(split_part(split_part(uri, ',', 1), '(', 1), '_', ' ')), trim(replace(split_part(split_part(uri || '_(word)', ',', 1), '(', 1), '_', ' '))], lambda x: x <> ''))) AS label FROM (SELECT DISTINCT uri FROM an WHERE NOT contains(uri, '__') AND NOT starts_with(uri, 'Template:') AND NOT starts_with(uri, 'List_of:'))),
+    nm AS MATERIALIZED (SELECT label, uri, coalesce(c, 1) AS named FROM lb LEFT JOIN (SELECT uri, CAST(sum(cnt) AS BIGINT) AS c FROM an GROUP BY uri) USING (uri)),
+    l1 AS MATERIALIZED (SELECT coalesce(n.label, an.mention) AS label, coalesce(n.uri, an.uri) AS uri, coalesce(named, cnt) AS cnt FROM (SELECT DISTINCT * FROM nm) n FULL OUTER JOIN an ON n.label = an.mention AND n.uri = an.uri),
+    l2 AS MATERIALIZED (SELECT coalesce(n.label, an.mention) AS label, coalesce(n.uri, an.uri) AS uri, coalesce(named, cnt) AS cnt FROM (SELECT DISTINCT replace(lower(label), ' ', '') AS label, uri, named FROM nm) n FULL OUTER JOIN an ON n.label = an.mention AND n.uri = an.uri)"""
+CAPITALS = "array_to_string(list_transform(range(1, length(m) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(substr(m, i - 1, 1), '[A-Za-z]') OR NOT regexp_matches(substr(m, i, 1), '[A-Za-z]') THEN upper(substr(m, i, 1)) ELSE lower(substr(m, i, 1)) END), '')"
+
+
+@query(f"""WITH RECURSIVE {GREEDY}, {NAMES}, q AS (SELECT sent_id AS doc_id, start AS mention_id, lower(label) AS m FROM gl),
+    f AS (SELECT doc_id, mention_id, m, 0 AS form, m AS matched FROM q UNION ALL SELECT doc_id, mention_id, m, 1, {CAPITALS} FROM q),
+    t AS (SELECT f.*, uri, cnt FROM f JOIN l1 ON label = matched UNION ALL SELECT doc_id, mention_id, m, 3, replace(m, ' ', ''), uri, cnt FROM q JOIN l2 ON label = replace(m, ' ', ''))
+    SELECT doc_id, mention_id, m AS mention, matched, uri, cnt FROM t QUALIFY form = min(form) OVER (PARTITION BY doc_id, mention_id)""")
 def candidate_chain(spark, sf):
     a = held_anchors(spark, sf)
     kb = knowledge_base(a)
@@ -598,7 +608,14 @@ def link_metrics(spark, sf):
     return m.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {GREEDY}, {LINKED}, {TYPO}, {CTX}, {MENT}, {PRUNE}, {TRUTH}, {CXM},
+    ro AS (SELECT pc.*, count(*) OVER m AS cand_num, cnt / (sum(cnt) OVER m + 1) AS prior_prob, row_number() OVER (PARTITION BY doc_id, mention_id ORDER BY cnt DESC, uri) - 1 AS graph_score FROM pc WINDOW m AS (PARTITION BY doc_id, mention_id)),
+    jo AS (SELECT ro.*, coalesce(mt.prob, 0) AS type_prob, mt.prob IS NOT NULL AS predictable, tr.true_uri, kb.general, tk.general AS true_general, tk.specific AS true_specific FROM ro JOIN kb USING (uri) LEFT JOIN mt ON mt.doc_id = ro.doc_id AND mt.mention_id = ro.mention_id AND mt.type = kb.general
+        LEFT JOIN tr ON tr.doc_id = ro.doc_id AND tr.mention_id = ro.mention_id LEFT JOIN kb tk ON tk.uri = tr.true_uri),
+    mg AS (SELECT doc_id, mention, uri, max(type_prob) AS type_prob, count(*) AS number_merged, arg_min(cand_num, mention_id) AS cand_num, arg_min(graph_score, mention_id) AS graph_score,
+        arg_min(coalesce(general IN (true_general, true_specific), false)::INT, mention_id) AS true_type_match, arg_min(predictable::INT, mention_id) AS type_predictable, arg_min(prior_prob, mention_id) AS prior_prob, arg_min(coalesce(uri = true_uri, false)::INT, mention_id) AS label FROM jo GROUP BY 1, 2, 3)
+    SELECT doc_id, mention, uri, round(type_prob, 9) AS type_prob, number_merged, cand_num, graph_score, 1 AS type_exists, 0 AS ner_type_match, true_type_match, type_predictable, round(prior_prob, 9) AS prior_prob, label,
+        CASE WHEN type_prob = 1 THEN 0 ELSE row_number() OVER (PARTITION BY doc_id, mention ORDER BY type_prob DESC, uri) - 1 END AS type_prob_rank, row_number() OVER (PARTITION BY doc_id, mention ORDER BY prior_prob DESC, uri) - 1 AS prior_prob_rank FROM mg""")
 def candidate_features(spark, sf):
     g = greedy(spark, sf)
     m = mentions(spark, sf, g)
@@ -607,7 +624,8 @@ def candidate_features(spark, sf):
     at = F.split("context_id", ":")
     probs = typed.pattern_probabilities(contexts(spark, sf), typograms_table(spark, sf, g)).select(at[0].alias("doc_id"), (at[1].cast("long") - 1).alias("mention_id"), "type", "prob")
     f = features.candidate_features(found, graph, knowledge_base(held_anchors(spark, sf)), probs, truth(spark, sf, m).withColumnRenamed("uri", "true_uri"), m)
-    return features.merged_features(f)
+    out = features.merged_features(f)
+    return out.withColumns({c: F.round(c, 9) for c in ("type_prob", "prior_prob")} | {c: F.col(c).cast("long") for c in ("graph_score", "type_prob_rank", "prior_prob_rank")})
 
 
 # Graphs: parts that share an order, and the pages' co-occurrence graph.
@@ -778,8 +796,12 @@ def pair_eval(spark, sf):
 
 def coref_mentions(spark: SparkSession, sf: str) -> DataFrame:
     g = greedy(spark, sf)
-    n = F.crc32("label") % 5
-    return g.select(F.col("sent_id").alias("doc_id"), n.cast("string").alias("cluster"), F.concat_ws("-", "sent_id", F.format_string("%05d", "start")).alias("mention_id"), F.lit(0).alias("sent_id"), "start", F.col("stop").alias("end"), F.col("label").alias("mention"), F.col("label").alias("head"), F.lit("NN").alias("pos"), F.when(F.crc32("uri") % 3 == 0, F.col("uri")).alias("entity"), F.col("label").alias("ner_text"))
+    n = F.length("label") % 5
+    return g.select(F.col("sent_id").alias("doc_id"), n.cast("string").alias("cluster"), F.concat_ws("-", "sent_id", F.format_string("%05d", "start")).alias("mention_id"), F.lit(0).alias("sent_id"), "start", F.col("stop").alias("end"), F.col("label").alias("mention"), F.col("label").alias("head"), F.lit("NN").alias("pos"), F.when(F.length("uri") % 3 == 0, F.col("uri")).alias("entity"), F.col("label").alias("ner_text"))
+
+
+COREF = """cm AS MATERIALIZED (SELECT sent_id AS doc_id, CAST(length(label) % 5 AS VARCHAR) AS cluster, sent_id || '-' || printf('%05d', start) AS mention_id, start, stop, label AS mention, CASE WHEN length(uri) % 3 = 0 THEN uri END AS entity,
+    lower(label) IN (PRONOUNS) OR (upper(label) = label AND regexp_matches(label, '[A-Z]')) AS aside FROM gl)""".replace("PRONOUNS", ", ".join(f"'{w}'" for w in coref.PRONOUNS))
 
 
 @query()
@@ -787,12 +809,20 @@ def coref_split(spark, sf):
     return coref.split_clusters(coref_mentions(spark, sf)).select("doc_id", "mention_id", "cluster", "new_cluster")
 
 
-@query()
+@query(f"""WITH RECURSIVE {GREEDY}, {COREF}, cj AS (SELECT DISTINCT doc_id, cluster FROM cm WHERE NOT aside AND contains(mention, ' and ')),
+    ln AS MATERIALIZED (SELECT DISTINCT doc_id, cluster, entity FROM cm WHERE entity IS NOT NULL AND NOT aside AND (doc_id, cluster) NOT IN (SELECT doc_id, cluster FROM cj)),
+    ed AS MATERIALIZED (SELECT DISTINCT a.doc_id, a.cluster AS a, b.cluster AS b FROM ln a JOIN ln b ON a.doc_id = b.doc_id AND a.entity = b.entity),
+    re(doc_id, a, b) AS (SELECT doc_id, a, b FROM ed UNION SELECT re.doc_id, re.a, ed.b FROM re JOIN ed ON ed.doc_id = re.doc_id AND ed.a = re.b),
+    mg AS (SELECT doc_id, a AS cluster, min(b) AS merged FROM re GROUP BY 1, 2)
+    SELECT doc_id, mention_id, cluster, coalesce(merged, cluster) AS merged FROM cm LEFT JOIN mg USING (doc_id, cluster)""")
 def coref_merge(spark, sf):
     return coref.merge_clusters(coref_mentions(spark, sf)).select("doc_id", "mention_id", "cluster", "merged")
 
 
-@query()
+@query(f"""WITH RECURSIVE {GREEDY}, {COREF}, wd AS (SELECT sent_id AS doc_id, unnest(range(0, len(tokens))) AS word FROM sent),
+    tg AS (SELECT doc_id, start AS word, 0 AS side, -stop AS o, cluster, CASE WHEN stop = start + 1 THEN '(' || cluster || ')' ELSE '(' || cluster END AS tag FROM cm UNION ALL SELECT doc_id, stop - 1, 1, -start, cluster, cluster || ')' FROM cm WHERE stop > start + 1),
+    mk AS (SELECT doc_id, word, string_agg(tag, '|' ORDER BY side, o, cluster, tag) AS tags FROM tg GROUP BY 1, 2)
+    SELECT DISTINCT doc_id, CAST(0 AS INT) AS sent_id, CAST(word AS INT) AS word, coalesce(tags, '-') AS tags FROM wd LEFT JOIN mk USING (doc_id, word)""")
 def coref_brackets(spark, sf):
     m = coref_mentions(spark, sf)
     words = sentences(spark, sf).select(F.col("sent_id").alias("doc_id"), F.lit(0).alias("sent_id"), F.posexplode("tokens").alias("word", "t"))
