@@ -10,7 +10,8 @@
    that skips what can't reach the required overlap, long ones probed by binary search for the candidates
    left. Lists of the same sets are one list, which counts for as many shingles.
    Sets that link to the family's pivot are one component already, so only the others search.
-   A family of over GROUP_SHINGLES is searched in blocks, each query block against all blocks.
+   A family of over half of GROUP_SHINGLES is searched by several tasks, each for a block of its sets
+   among a block of GROUP_SHINGLES; a larger one has several of both.
 4. Components of the links, over classes of equal sets.
 
 Nothing is capped or sampled: every linked pair of different sets is found or implied by others. Equal
@@ -532,16 +533,16 @@ def family_search(docs: DataFrame, members: DataFrame, limit: int = GROUP_SHINGL
     """a, b: links between the classes of members(fam, cls, n, shared, row_key) of families, exact and whole."""
     size = members.groupBy("fam").agg(F.sum("n").alias("mass"), F.count(F.lit(1)).alias("k")).where("k > 1")
     wanted = members.join(size, "fam").select("fam", "cls", "shared", "row_key", "mass")
-    small, big = wanted.where(F.col("mass") <= limit), wanted.where(F.col("mass") > limit)
+    small, big = wanted.where(F.col("mass") <= limit // 2), wanted.where(F.col("mass") > limit // 2)
     sets = family_sets(docs, wanted)
     links = search(small.join(sets, "row_key").select(F.col("fam").alias("grp"), "cls", F.lit(True).alias("asks"), F.lit(True).alias("answers"), "shingles"))
     if big.isEmpty():
         return links
     held = stored(pivot_links(big.join(family_sets(docs, big), "row_key").select("fam", "cls", "shared", "shingles").dropDuplicates(["fam", "cls"])), "families")
     shape = held.groupBy("fam").agg(F.sum(F.octet_length("shingles")).alias("all"), F.sum(F.when(~F.col("linked"), F.octet_length("shingles")).otherwise(0)).alias("rest"))
-    half = limit * 4  # bytes of half a group
-    rest = held.join(shape, "fam").withColumn("asks", ~F.col("linked"))
-    blocks = _pairs(rest.where("rest > 0").select("fam", "cls", "shingles", "asks", "all", "rest").withColumn("ib", F.ceil(F.col("rest") / half)).withColumn("jb", F.ceil(F.col("all") / half)), F.col("ib"), F.col("jb"))
+    asking = F.greatest(F.lit(2 * limit), F.least(F.lit(4 * limit), F.col("all") / 8))  # bytes of a block of asking sets; answering ones have 8 * limit
+    rest = held.join(shape, "fam").withColumn("asks", ~F.col("linked")).where("rest > 0").withColumn("ib", F.ceil(F.col("rest") / asking)).withColumn("jb", F.ceil(F.col("all") / (8 * limit)))
+    blocks = _pairs(rest.select("fam", "cls", "shingles", "asks", "ib", "jb"), F.col("ib"), F.col("jb"))
     return links.union(held.where("linked AND cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))).union(search(blocks))
 
 
