@@ -151,24 +151,26 @@ def hit_regions(docs: DataFrame, table: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, memory = BitTable(shared.value), WordHashes()
         for b in batches:
+            docs_, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
+            texts = [word_hashes(x, memory) for x in b.column(2).to_pylist()]
+            ends = np.cumsum([len(w) for w in texts])
+            every = np.concatenate(texts) if texts else np.empty(0, np.uint64)
+            hits = []
+            for mask, h in zip(MASKS, seeds(every), strict=True):  # of all texts at once; windows across two of them go
+                at = np.flatnonzero(bits.may_hold(h))
+                own = np.searchsorted(ends, at, "right")
+                ok = at + len(mask) <= ends[own]
+                hits.append((own[ok], at[ok], h[at[ok]]))
+            own, place, x = (np.concatenate(c) for c in zip(*hits, strict=True))
+            o = np.lexsort((place, own))
+            own, place, x = own[o], place[o], x[o]
             rows = []
-            for doc, key, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                w = word_hashes(text, memory)
-                places, hashes = [], []
-                for h in seeds(w):
-                    at = np.flatnonzero(bits.may_hold(h))
-                    if len(at):
-                        places.append(at)
-                        hashes.append(h[at])
-                if not sum(map(len, places)):
-                    continue
-                at, x = np.concatenate(places), np.concatenate(hashes)
-                o = np.argsort(at, kind="stable")
-                at, x = at[o], x[o]
-                own = w.astype(np.uint32).view(np.int32)
+            for of in np.split(np.arange(len(own)), np.flatnonzero(np.diff(own)) + 1) if len(own) else ():
+                k = int(own[of[0]])
+                at, words, key = place[of] - (int(ends[k]) - len(texts[k])), texts[k].astype(np.uint32).view(np.int32), keys[k]
                 for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * REACH) + 1):
-                    first, last = max(0, int(at[part[0]]) - REACH), min(len(w), int(at[part[-1]]) + REACH + max(map(len, MASKS)))
-                    rows.append({"region": xxhash.xxh3_64_intdigest(own[first:last].tobytes(), key & 0xFFFFFFFFFFFFFFFF) - (1 << 63), "row_key": key, "doc_id": doc, "first": first, "words": own[first:last], "places": at[part], "hashes": x[part].view(np.int64)})
+                    first, last = max(0, int(at[part[0]]) - REACH), min(len(words), int(at[part[-1]]) + REACH + max(map(len, MASKS)))
+                    rows.append({"region": xxhash.xxh3_64_intdigest(words[first:last].tobytes(), key & 0xFFFFFFFFFFFFFFFF) - (1 << 63), "row_key": key, "doc_id": docs_[k], "first": first, "words": words[first:last], "places": at[part], "hashes": x[of][part].view(np.int64)})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=REGIONS)
 
