@@ -33,7 +33,7 @@ from .common import WORD, stored
 SLOTS = 1 << 17
 FINE = 256
 LIMIT = 3
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 500
 
 
 def word_count(text: Column) -> Column:
