@@ -60,6 +60,9 @@ def test_words_and_labels(spark):
     assert one(spark, T.without_tags(F.col("t"), "i", "c"), t="a <i>b</i><c>d</c>") == "a b"
     assert one(spark, T.html_unescape(F.col("t")), t="&lt;a&gt; &amp;amp;") == "<a> &amp;"
     assert one(spark, T.without_wiki_markup(F.col("t")), t="'''Bold''' [[link]]") == "Bold link"
+    assert one(spark, T.without_wiki_markup(F.col("t")), t="== Head ==\n** item [[File:a.png|thumb]]x\n{{cite|a}}[[Paris (city)|Paris]] <!-- no --> y") == " Head \n * item x\nParis  y"
+    assert sorted(one(spark, T.person_labels(F.col("t")), t="a b c")) == ["a", "a b", "a b c", "a c", "b", "b c", "c"]
+    assert len(one(spark, T.person_labels(F.col("t")), t=" ".join("abcdefghijk"))) == 2**11 - 1
     assert one(spark, T.sentence_key(F.col("t")), t=' "The dog\'s tail" ') == "The dog tail"
     assert one(spark, T.edit_cell(F.col("t")), t=" a** b!!  c ") == "a b! c" and one(spark, T.edit_cell(F.col("t")), t="null") is None
     assert one(spark, T.compressed_pos(F.col("t")), t="VBD") == "VB"

@@ -142,3 +142,33 @@ def test_segment_stream(spark, tmp_path):
     s = spark.readStream.schema("tweet_id int, segments array<string>").parquet(str(tmp_path / "s"))
     streams.run_once(streams.segment_sets(s), "segment_sets", "complete")
     assert {r.segment: sorted(r.tweets) for r in spark.table("segment_sets").collect()} == {"a": [1, 2], "b": [1]}
+
+
+def test_deep_hierarchies(spark):
+    from lexaloom.operators import typed
+
+    tree = spark.createDataFrame([(f"t{k + 1}", f"t{k}") for k in range(70)], "child string, parent string")
+    assert {r.type: r.depth for r in typed.depths(tree, "t0").collect()}["t70"] == 70
+    patterns = spark.createDataFrame([("a SUB", "t9", 3), ("a SUB", "t1", 1)], "pattern string, type string, cnt long")
+    contexts = spark.createDataFrame([("c", ["x", "a", "SUB", "b", "y"])], "context_id string, context array<string>")
+    got = typed.hierarchical_types(contexts, patterns, tree.where("child IN ('t1','t2','t3','t4','t5','t6','t7','t8','t9')"), "t0").collect()
+    assert max(r.level for r in got) == 8 and {r.type for r in got} == {f"t{k}" for k in range(1, 10)}
+
+
+def test_linked_ngrams_rebuild_sentences(spark):
+    from lexaloom.operators import typed
+
+    sentences = spark.createDataFrame([(1, ["The", "New", "York", "City", "Hall"]), (2, ["No", "Links"]), (3, ["Rome"])], "sent_id long, tokens array<string>")
+    links = spark.createDataFrame([(1, 1, 3, "NY"), (1, 2, 4, "YC"), (3, 0, 1, "R")], "sent_id long, start int, stop int, uri string")
+    grams = lambda strict: {r.ngram for r in typed.linked_ngrams(sentences, links, strict=strict).where("n = 1").collect()}
+    assert grams(False) == {"the", "<dbpedia:NY>", "<dbpedia:YC>", "hall", "no", "links", "<dbpedia:R>"}
+    assert grams(True) == {"the", "<dbpedia:NY>", "<dbpedia:YC>", "no", "<dbpedia:R>"}
+
+
+def test_pattern_counts_match_those_of_ngrams(spark):
+    from lexaloom.operators import ngrams
+
+    rows = [(["of", "the", "of"],), (["x"],), ([],), (["in", "a", "b", "of", "c"],)]
+    s, v = spark.createDataFrame(rows, "tokens array<string>"), spark.createDataFrame([("of",), ("in",)], "word string")
+    want = ngrams.substitution_patterns(ngrams.ngram_counts(s), v)
+    assert sorted(map(tuple, ngrams.pattern_counts(s, v).collect())) == sorted(map(tuple, want.collect()))
