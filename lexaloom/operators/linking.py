@@ -129,6 +129,11 @@ def without_ambiguous_lower(found: DataFrame) -> DataFrame:
     return found.withColumn("_n", n).where(~(is_lower(F.col("mention")) & (F.col("_n") > 1))).drop("_n")
 
 
+def without_tweet_entities(recognised: DataFrame, tweet: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Recognised entities whose text isn't that of a handle or hashtag of the same document."""
+    return recognised.join(tweet.select(key, text).distinct(), [key, text], "left_anti")
+
+
 def noun_spans(tagged: DataFrame, labels: DataFrame, key: str = "doc_id", longest: int = 5) -> DataFrame:
     """key, start, stop, mention: candidate spans round the nouns of `tagged` (array<struct<token, tag>>), joined noun phrases
     being one word: all spans of up to `longest` words that hold a noun, begin in upper case and are labels; a noun phrase

@@ -172,3 +172,15 @@ def test_pattern_counts_match_those_of_ngrams(spark):
     s, v = spark.createDataFrame(rows, "tokens array<string>"), spark.createDataFrame([("of",), ("in",)], "word string")
     want = ngrams.substitution_patterns(ngrams.ngram_counts(s), v)
     assert sorted(map(tuple, ngrams.pattern_counts(s, v).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_synonyms_and_tweet_entities(spark):
+    from lexaloom.operators import lexicon, linking
+
+    rows = [("cars", "n", "car", 1), ("car", "n", "car", 1), ("auto", "n", "auto", 1), ("car", "n", "car", 2), ("wagon", "n", "wagon", 2), ("car", "v", "car", 3), ("ride", "v", "ride", 3)]
+    table = spark.createDataFrame(rows, "word string, pos string, lemma string, synset long")
+    words = spark.createDataFrame([("Cars", "n"), ("car", "v"), ("sky", "n")], "word string, pos string")
+    assert {(r.word, r.pos): r.synonyms for r in lexicon.synonyms(words, table).collect()} == {("Cars", "n"): ["auto", "wagon"], ("car", "v"): ["ride"], ("sky", "n"): []}
+    assert {r.word: r.lemma for r in lexicon.lemmas(words, table).collect()} == {"Cars": "car", "car": "car", "sky": "sky"}
+    ner = spark.createDataFrame([(1, "Paris"), (1, "nasa"), (2, "nasa")], "doc_id long, text string")
+    assert sorted(map(tuple, linking.without_tweet_entities(ner, spark.createDataFrame([(1, "nasa")], "doc_id long, text string")).collect())) == [(1, "Paris"), (2, "nasa")]
