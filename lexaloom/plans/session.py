@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +29,29 @@ class Tables:
         return spark.table(getattr(self, name))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, stored in the folder that driver and executors share; one of our own only on a local master where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; one of our own only on a local master where none is set."""
+    found, master = spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
+    if not found:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexaloom-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, stored in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """As checkpointed, as a Parquet table whose size the planner knows, so that it picks the joins by it; it goes with the application."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(found)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
