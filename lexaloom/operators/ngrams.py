@@ -14,10 +14,12 @@ from ..functions.arrays import SLOT, ngrams, replaced_at, slot_of
 from ..functions.math import BIGRAM_MEASURES, TRIGRAM_MEASURES, normal_position
 
 
-def ngram_counts(sentences: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), tokens: str = "tokens") -> DataFrame:
-    """ngram, n, cnt over the token arrays; counts combine before the shuffle."""
+def ngram_counts(sentences: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), tokens: str = "tokens", asked: DataFrame | None = None) -> DataFrame:
+    """ngram, n, cnt over the token arrays, of asked(ngram) alone if given; counts combine before the shuffle."""
     grams = F.concat(*[ngrams(F.col(tokens), n) for n in sizes])
     exploded = sentences.select(F.explode(grams).alias("ngram"))
+    if asked is not None:
+        exploded = exploded.join(asked.select("ngram").distinct(), "ngram", "left_semi")
     return exploded.groupBy("ngram").agg(F.count(F.lit(1)).alias("cnt")).select("ngram", F.size(F.split("ngram", " ")).alias("n"), "cnt")
 
 

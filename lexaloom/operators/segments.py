@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.math import ngram_scp, stickiness, unigram_scp
 from ..functions.text import segmentations, words
 
+UNITS = 1e12  # of a score, which add up exactly
+
 
 def segment_scores(phrases: DataFrame, counts: DataFrame, wiki: DataFrame) -> DataFrame:
     """phrase, n, scp, wiki, stickiness of phrases(phrase) by n-gram counts and wiki(phrase, prob)."""
@@ -27,19 +29,25 @@ def segment_scores(phrases: DataFrame, counts: DataFrame, wiki: DataFrame) -> Da
 
 
 def ranked_segmentations(tweets: DataFrame, counts: DataFrame, wiki: DataFrame, *, key: str = "tweet_id", text: str = "text", most_words: int = 10) -> DataFrame:
-    """key, segments, score, rank of every segmentation of tweets of up to most_words words, and of the best one of longer
-    tweets, whose segmentations double with every word."""
-    tokens = tweets.select(key, words(F.lower(text)).alias("w"))
-    cut = tokens.select(key, F.explode(segmentations(F.col("w"), most_words=most_words)).alias("segments"))
-    spans = tokens.where(F.size("w") > most_words).distinct().select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).select(key, "w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(5), F.size("w") - F.col("i") + 1))).alias("k")).withColumn("segment", F.array_join(F.slice("w", F.col("i"), F.col("k")), " "))
-    scores = segment_scores(cut.select(F.explode("segments").alias("phrase")).union(spans.select("segment")), counts, wiki).select(F.col("phrase").alias("segment"), "stickiness")
-    parts = cut.withColumn("sid", F.xxhash64("segments")).select(key, "sid", "segments", F.explode("segments").alias("segment"))
-    total = parts.join(scores, "segment").groupBy(key, "sid").agg(F.first("segments").alias("segments"), F.sum("stickiness").alias("score"))
-    listed = spans.join(scores, "segment").groupBy(key, "w").agg(F.collect_list(F.struct("i", "k", F.coalesce("stickiness", F.lit(0.0)).alias("s"))).alias("parts"))
-    best = listed.select(key, "w", "parts").mapInArrow(_best_segmentations, f"{key} {dict(tweets.dtypes)[key]}, segments array<string>, score double")
-    total = total.select(key, "segments", "score").union(best)
-    w = Window.partitionBy(key).orderBy(F.desc("score"), F.array_join("segments", "/"))
-    return total.select(key, "segments", "score", (F.row_number().over(w) - 1).cast("long").alias("rank"))
+    """key, segments, score, rank of every segmentation of each text of up to most_words words, and of the best one of longer
+    texts, whose segmentations double with every word. Texts without words have none; repeated rows count once.
+
+    Only segments are joined with their scores, at most five a word; a text's segmentations are scored and ranked within its row.
+    Scores add up in units of 1e-12, so that segmentations into the same parts tie whatever their order; ties go by the parts.
+    """
+    tokens = tweets.select(key, words(F.lower(text)).alias("w")).where(F.size("w") > 0).distinct()
+    starts = tokens.select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    spans = starts.select(key, "w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(5), F.size("w") - F.col("i") + 1))).alias("k")).withColumn("segment", F.array_join(F.slice("w", F.col("i"), F.col("k")), " "))
+    scores = segment_scores(spans.select(F.col("segment").alias("phrase")), counts, wiki).select(F.col("phrase").alias("segment"), "stickiness")
+    scored = spans.join(scores, "segment", "left").withColumn("s", F.round(F.coalesce("stickiness", F.lit(0.0)) * UNITS).cast("long"))
+    short, long = scored.where(F.size("w") <= most_words), scored.where(F.size("w") > most_words)
+    listed = short.groupBy(key, "w").agg(F.map_from_entries(F.collect_set(F.struct("segment", "s"))).alias("of"))
+    negative = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a - F.element_at("of", x))
+    ways = F.transform(segmentations(F.col("w"), most_words=most_words), lambda p: F.struct(negative(p).alias("loss"), F.array_join(p, "/").alias("joined"), p.alias("segments")))
+    total = listed.select(key, F.posexplode(F.array_sort(ways)).alias("rank", "way")).select(key, "way.segments", (-F.col("way.loss") / UNITS).alias("score"), F.col("rank").cast("long"))
+    placed = long.groupBy(key, "w").agg(F.collect_list(F.struct("i", "k", "s")).alias("parts"))
+    best = placed.select(key, "w", "parts").mapInArrow(_best_segmentations, f"{key} {dict(tweets.dtypes)[key]}, segments array<string>, score double")
+    return total.union(best.withColumn("rank", F.lit(0).cast("long")))
 
 
 def _best_segmentations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +56,7 @@ def _best_segmentations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         segments, scores = [], []
         for w, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             score = {(p["i"] - 1, p["k"]): p["s"] for p in parts}
-            best = [(0.0, "", ())]  # of the first words: score (negative), joined parts, parts
+            best = [(0, "", ())]  # of the first words: score (negative), joined parts, parts
             for end in range(1, len(w) + 1):
                 ways = []
                 for k in range(1, min(end, 5 if end == len(w) else 4) + 1):
@@ -57,7 +65,7 @@ def _best_segmentations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                     ways.append((s - score[end - k, k], f"{joined}/{part}", (*before, part)))
                 best.append(min(ways))
             segments.append(list(best[-1][2]))
-            scores.append(-best[-1][0])
+            scores.append(-best[-1][0] / UNITS)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(segments, pa.list_(pa.string())), pa.array(scores, pa.float64())], names=[b.schema.names[0], "segments", "score"])
 
 

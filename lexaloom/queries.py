@@ -679,11 +679,30 @@ def semantic_signatures(spark, sf):
 
 
 # Tweets: the first words of events' types and users as segments, and short benchmark phrases.
-@query()
+@query(rf"""WITH RECURSIVE {ALLG}, {LINKS}, {RED}, pu AS (SELECT uri, sum(cnt) AS c FROM an GROUP BY uri), wk AS MATERIALIZED (SELECT mention AS phrase, sum(cnt) / (sum(c) + 10) AS prob FROM an JOIN pu USING (uri) GROUP BY mention),
+    cl AS (SELECT item_id * 1000 + generate_subscripts(x, 1) - 1 AS tweet_id, unnest(x) AS text FROM (SELECT item_id, regexp_split_to_array(text, '[.,]\s*') AS x FROM benchmark)),
+    tw AS MATERIALIZED (SELECT DISTINCT tweet_id, w, CAST(len(w) AS BIGINT) AS n FROM (SELECT tweet_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda v: v <> '') AS w FROM cl) WHERE len(w) > 0),
+    sp AS MATERIALIZED (SELECT tweet_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS segment FROM (SELECT tweet_id, w, n, unnest(range(1, n + 1)) AS i FROM tw), range(1, 6) r(k) WHERE k <= n - i + 1),
+    ph AS MATERIALIZED (SELECT phrase, string_split(phrase, ' ') AS w, CAST(len(string_split(phrase, ' ')) AS BIGINT) AS n FROM (SELECT DISTINCT segment AS phrase FROM sp)),
+    ct AS (SELECT phrase, array_to_string(list_slice(w, 1, k), ' ') AS a, array_to_string(list_slice(w, k + 1, n), ' ') AS b FROM (SELECT *, unnest(range(1, n)) AS k FROM ph)),
+    pr AS MATERIALIZED (SELECT phrase, avg(coalesce(x.cnt, 0)::DOUBLE * coalesce(y.cnt, 0)) AS mean FROM ct LEFT JOIN allg x ON x.ngram = a LEFT JOIN allg y ON y.ngram = b GROUP BY phrase),
+    sc AS (SELECT phrase, ph.n, coalesce(prob, 0) AS prob, CASE WHEN ph.n = 1 AND g.cnt > 0 THEN 2 * ln(g.cnt / 369177688671.0::DOUBLE) WHEN ph.n > 1 AND g.cnt > 0 AND mean > 0 THEN ln(g.cnt::DOUBLE * g.cnt / mean) END AS scp FROM ph LEFT JOIN allg g ON g.ngram = phrase LEFT JOIN pr USING (phrase) LEFT JOIN wk USING (phrase)),
+    st AS MATERIALIZED (SELECT phrase, CAST(round(coalesce(CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE (n - 1) / n END * exp(prob) * (2 / (1 + exp(-scp))), 0) * 1e12::DOUBLE) AS BIGINT) AS units FROM sc),
+    su AS MATERIALIZED (SELECT tweet_id, i, k, segment, units FROM sp JOIN st ON phrase = segment),
+    ways AS (SELECT tweet_id, n, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS parts, CAST(0 AS BIGINT) AS units FROM tw WHERE n <= 10
+        UNION ALL SELECT y.tweet_id, n, pos + k, list_append(parts, segment), y.units + su.units FROM ways y JOIN su ON su.tweet_id = y.tweet_id AND i = pos + 1 WHERE (k < 5 OR pos + k = n) AND (k < n OR n = 1)),
+    mp AS MATERIALIZED (SELECT tweet_id, map(list(segment), list(units)) AS m FROM (SELECT DISTINCT tweet_id, segment, units FROM su) GROUP BY tweet_id),
+    best AS (SELECT tweet_id, w, n, m, CAST(1 AS BIGINT) AS e, [{{'u': CAST(0 AS BIGINT), 'j': '', 'p': CAST([] AS VARCHAR[])}}] AS b FROM tw JOIN mp USING (tweet_id) WHERE n > 10
+        UNION ALL SELECT tweet_id, w, n, m, e + 1, list_append(b, list_sort(list_transform(list_transform(range(1, least(e, CASE WHEN e = n THEN 5 ELSE 4 END) + 1), lambda k: {{'k': k, 's': array_to_string(list_slice(w, e - k + 1, e), ' ')}}),
+            lambda x: {{'u': b[e - x.k + 1].u - map_extract(m, x.s)[1], 'j': b[e - x.k + 1].j || '/' || x.s, 'p': list_append(b[e - x.k + 1].p, x.s)}}))[1]) FROM best WHERE e <= n)
+    SELECT tweet_id, parts AS segments, round(units / 1e12::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY tweet_id ORDER BY units DESC, array_to_string(parts, '/')) - 1 AS rank FROM ways WHERE pos = n
+    UNION ALL SELECT tweet_id, b[n + 1].p, round(-b[n + 1].u / 1e12::DOUBLE, 6), 0 FROM best WHERE e = n + 1""")
 def segment_ranking(spark, sf):
     tweets = read(spark, sf, "benchmark").select(F.col("item_id").alias("tweet_id"), F.posexplode(F.split("text", r"[.,]\s*")).alias("k", "text")).select((F.col("tweet_id") * 1000 + F.col("k")).alias("tweet_id"), "text")
+    asked = tweets.select(T.words(F.lower("text")).alias("w")).select(F.explode(F.concat(*[A.ngrams(F.col("w"), n) for n in (1, 2, 3)])).alias("ngram"))
     wiki = links.wiki_probabilities(held_anchors(spark, sf).select(F.col("mention").alias("phrase")), held_anchors(spark, sf))
-    return segments.ranked_segmentations(tweets, counts(spark, sf, 1, 2, 3), wiki).withColumn("score", F.round("score", 6))
+    found = ngrams.ngram_counts(doc_tokens(spark, sf), (1, 2, 3), asked=asked)
+    return segments.ranked_segmentations(tweets, found, wiki).withColumn("score", F.round("score", 6))
 
 
 SEG = r"""sc AS (SELECT item_id, list_filter(string_split(x, ' '), lambda w: w <> '') AS w FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[.,\n]\s*')) AS x FROM benchmark)),
