@@ -12,7 +12,7 @@ from .functions import arrays as A
 from .functions import text as T
 from .functions.math import BIGRAM_MEASURES, cosine
 from .operators import coref, edits, evaluate, features, graphs, labels, linking, links, ngrams, segments, typed, vectors
-from .plans.session import checkpointed
+from .plans.session import checkpointed, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -701,7 +701,8 @@ def segment_ranking(spark, sf):
     tweets = read(spark, sf, "benchmark").select(F.col("item_id").alias("tweet_id"), F.posexplode(F.split("text", r"[.,]\s*")).alias("k", "text")).select((F.col("tweet_id") * 1000 + F.col("k")).alias("tweet_id"), "text")
     asked = tweets.select(T.words(F.lower("text")).alias("w")).select(F.explode(F.concat(*[A.ngrams(F.col("w"), n) for n in (1, 2, 3)])).alias("ngram"))
     wiki = links.wiki_probabilities(held_anchors(spark, sf).select(F.col("mention").alias("phrase")), held_anchors(spark, sf))
-    found = ngrams.ngram_counts(doc_tokens(spark, sf), (1, 2, 3), asked=asked)
+    asked = stored(asked.distinct(), "asked_ngrams")  # joined by its size
+    found = stored(ngrams.ngram_counts(doc_tokens(spark, sf), (1, 2, 3), asked=asked), "counts")
     return segments.ranked_segmentations(tweets, found, wiki).withColumn("score", F.round("score", 6))
 
 
