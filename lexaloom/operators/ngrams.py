@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 from ..functions.arrays import SLOT, ngrams, replaced_at, slot_of
 from ..functions.math import BIGRAM_MEASURES, TRIGRAM_MEASURES, normal_position
 
+BROADCAST_BYTES = 16 << 20  # of asked n-grams, measured
+
 
 def ngram_counts(sentences: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), tokens: str = "tokens", asked: DataFrame | None = None) -> DataFrame:
-    """ngram, n, cnt over the token arrays, of asked(ngram) alone if given; counts combine before the shuffle."""
+    """ngram, n, cnt over the token arrays, of asked(ngram) alone if given; counts combine before the shuffle.
+
+    asked should be a stored table: it is measured, and broadcast up to BROADCAST_BYTES; beyond that the join is a shuffle.
+    """
     grams = F.concat(*[ngrams(F.col(tokens), n) for n in sizes])
     exploded = sentences.select(F.explode(grams).alias("ngram"))
     if asked is not None:
-        exploded = exploded.join(asked.select("ngram").distinct(), "ngram", "left_semi")
+        asked = asked.select("ngram").distinct()
+        size = asked.agg(F.sum(F.octet_length("ngram") + 16)).first()[0] or 0
+        exploded = exploded.join(F.broadcast(asked) if size <= BROADCAST_BYTES else asked, "ngram", "left_semi")
     return exploded.groupBy("ngram").agg(F.count(F.lit(1)).alias("cnt")).select("ngram", F.size(F.split("ngram", " ")).alias("n"), "cnt")
 
 
