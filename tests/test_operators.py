@@ -114,6 +114,16 @@ def test_common_neighbours(spark):
     assert rows(graphs.common_neighbours(e)) == [("a", "b", 2)]
 
 
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_asked_counts_are_those_of_all(spark, monkeypatch, limit):
+    """Counts of asked n-grams by broadcast and by shuffle; repeated, missing and null ones change nothing."""
+    monkeypatch.setattr(ngrams, "BROADCAST_BYTES", limit)
+    t = spark.createDataFrame([(["a", "b", "a", "b"],), (["b", "a"],), ([],)], "tokens array<string>")
+    asked = spark.createDataFrame([("a b",), ("a b",), ("b",), ("c",), (None,)], "ngram string")
+    assert {(r.ngram, r.n, r.cnt) for r in ngrams.ngram_counts(t, (1, 2), asked=asked).collect()} == {("a b", 2, 2), ("b", 1, 3)}
+    assert ngrams.ngram_counts(t, (1, 2), asked=asked.limit(0)).count() == 0
+
+
 def test_signatures_sum(spark):
     e = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("b", "c", 3), ("c", "a", 1)], "src string, dst string, weight int")
     got = {r.node: r.p for r in graphs.signatures(e, spark.createDataFrame([("a",)], "uri string"), steps=3).collect()}
