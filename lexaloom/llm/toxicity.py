@@ -144,7 +144,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], *, l2: float = 1e
         gw = np.bincount(c, g[r], minlength=len(w)) + l2 * w / 10
         if pairs:
             d = np.bincount(plus[0], w[plus[1]], minlength=len(pairs)) - np.bincount(minus[0], w[minus[1]], minlength=len(pairs))
-            d *= 2 * counterfactual / len(pairs)
+            d = d * (2 * counterfactual / len(pairs))  # whole numbers where no swapped word has a weight
             gw += np.bincount(plus[1], d[plus[0]], minlength=len(w)) - np.bincount(minus[1], d[minus[0]], minlength=len(w))
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw

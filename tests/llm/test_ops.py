@@ -785,3 +785,15 @@ def test_hubs_of_components(spark, monkeypatch):
     edges = [(500, k) for k in range(100)] + [(1000, 2000 + k) for k in range(50)] + [(2049, 3000)]
     got = {g.node: g.root for g in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in (*range(100), 500)}, **{k: 1000 for k in (1000, *range(2000, 2050), 3000)}}
+
+
+def test_toxicity_fit_with_rare_identity_terms():
+    """Identity terms in so few texts that no feature of theirs is kept: the penalty acts on nothing, the fit is that without it."""
+    swap, rows = toxicity.swaps(), []
+    for i in range(200):
+        words = {b"vile" if i % 2 else b"fine", b"word%d" % (i % 7)} | ({b"men"} if i == 5 else set())
+        other = toxicity.swapped(words, swap)
+        rows.append((toxicity.text_features(words), None if other is None else toxicity.text_features(other), i % 2))
+    model, plain = toxicity.fit(rows), toxicity.fit([(f, None, y) for f, _, y in rows])
+    assert model.pairs == 1 and plain.pairs == 0
+    assert model.weights == plain.weights and model.bias == plain.bias and model.weights
