@@ -3,9 +3,10 @@
 Labelled texts that name a group are copied with the identity terms swapped for others of their set;
 the fit penalises the squared change of the score, so that a neutral mention carries no weight.
 
-The classifier is fitted on the driver from at most SAMPLE labelled rows, the first by a hash of their
-ids, and has weights for the KEEP features with the most evidence at most (a bounded sample is all that a
-few thousand weights need); every row is scored on its whole text.
+The classifier is fitted on the driver from at most SAMPLE labelled ids, the first by a hash of them, and
+has weights for the KEEP features with the most evidence at most (a bounded sample is all that a few
+thousand weights need). Executors count the features; only those kept go to the driver. Every row is
+scored on its whole text.
 
 Defined results: null, empty and letterless texts score as a text without features; labels of null
 ids or null toxic are ignored, of several labels for an id the largest counts; ids that repeat are
@@ -159,25 +160,58 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: Sequence[Sequence[str]] = IDENTITY) -> DataFrame:
-    """features, swapped, toxic of at most `sample` labelled texts that aren't held out; their ids (8 bytes each) are broadcast."""
-    swap = swaps(terms)
+def labelled_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """text, toxic (0 or 1) of the texts of at most `sample` labelled ids that aren't held out; the ids (8 bytes each) are broadcast."""
     chosen = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+
+
+def telling_features(texts: DataFrame, n: int, n1: int) -> np.ndarray:
+    """The KEEP features with the most evidence, as fit() keeps them of n texts, n1 of them toxic; counted by the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [text_features(tokens(x)) for x in utf8(b.column(0))]
+            toxic = np.repeat(b.column(1).to_numpy().astype(np.int64), [len(f) for f in found])
+            names, ids = np.unique(np.concatenate([*found, np.empty(0, np.uint32)]), return_inverse=True)
+            df, pos = np.bincount(ids, minlength=len(names)), np.bincount(ids[toxic == 1], minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (names, df, pos)], names=["feature", "df", "pos"])
+
+    counts = texts.mapInArrow(released(run), "feature long, df long, pos long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos")).where("df >= 3")
+    expected, one = F.col("df") * F.lit(n1 / n), F.lit(1.0)
+    gap = F.col("pos") - F.col("expected")
+    spread = F.col("expected") * (one - F.col("df") / F.lit(float(n))) * F.lit(1 - n1 / n)
+    told = counts.withColumn("expected", expected).withColumn("chi2", gap * gap / F.greatest(spread, F.lit(1e-9))).where(F.col("chi2") >= EVIDENCE)
+    return np.sort(np.array([r[0] for r in told.orderBy(F.desc("chi2"), "feature").select("feature").limit(KEEP).collect()], np.uint32))
+
+
+def labelled_features(texts: DataFrame, kept: np.ndarray, terms: Sequence[Sequence[str]] = IDENTITY) -> DataFrame:
+    """features, swapped, toxic of labelled texts, with the kept features alone."""
+    swap = swaps(terms)
+
+    def of(words: set[bytes]) -> bytes:
+        return np.intersect1d(text_features(words), kept, assume_unique=True).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [tokens(x) for x in utf8(b.column(0))]
             other = [swapped(x, swap) for x in words]
-            yield pa.RecordBatch.from_arrays([pa.array([text_features(x).tobytes() for x in words], pa.binary()), pa.array([None if x is None else text_features(x).tobytes() for x in other], pa.binary()), b.column(1).cast(pa.int32())], names=["features", "swapped", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([of(x) for x in words], pa.binary()), pa.array([None if x is None else of(x) for x in other], pa.binary()), b.column(1)], names=["features", "swapped", "toxic"])
 
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(released(run), "features binary, swapped binary, toxic int")
+    return texts.mapInArrow(released(run), "features binary, swapped binary, toxic int")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, *, terms: Sequence[Sequence[str]] = IDENTITY, counterfactual: float = 1.0) -> ToxicityModel:
+    """The driver gets no features but those that the fit keeps, so that long texts and ids that repeat don't fill it."""
     small_batches(docs.sparkSession)
-    columns = [c.to_pylist() for c in labelled_features(docs, labels, sample, terms).toArrow().columns]
-    rows = [(np.frombuffer(f, np.uint32), None if s is None else np.frombuffer(s, np.uint32), int(t > 0)) for f, s, t in zip(*columns, strict=True)]
-    return fit(sorted(rows, key=lambda r: (r[2], r[0].tobytes())), counterfactual=counterfactual)
+    texts = labelled_texts(docs, labels, sample)
+    n, n1 = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    kept = telling_features(texts, n, n1) if 0 < n1 < n else np.empty(0, np.uint32)
+    if not len(kept):
+        return ToxicityModel(bias=float(np.log(n1 / (n - n1))) if 0 < n1 < n else 30.0 if n1 else -30.0)
+    columns = [c.to_pylist() for c in labelled_features(texts, kept, terms).toArrow().columns]
+    rows = [(np.frombuffer(f, np.uint32), None if s is None else np.frombuffer(s, np.uint32), t) for f, s, t in zip(*columns, strict=True)]
+    return fit(sorted(rows, key=lambda r: (r[2], r[0].tobytes(), r[1] is not None, b"" if r[1] is None else r[1].tobytes())), counterfactual=counterfactual)
 
 
 def scored(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

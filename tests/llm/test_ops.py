@@ -797,3 +797,25 @@ def test_toxicity_fit_with_rare_identity_terms():
     model, plain = toxicity.fit(rows), toxicity.fit([(f, None, y) for f, _, y in rows])
     assert model.pairs == 1 and plain.pairs == 0
     assert model.weights == plain.weights and model.bias == plain.bias and model.weights
+
+
+def test_toxicity_sends_only_kept_features(spark):
+    """What goes to the driver is small, and the fit over it is the one over all features."""
+    texts, labels = toxic_corpus(spark)
+    texts = [f"{t} {' '.join(f'{w}q{i}' for w in vocabulary(400, i))}" for i, t in enumerate(texts)]
+    docs = docs_of(spark, texts)
+    marked = toxicity.labelled_texts(docs, labels)
+    rows = [(toxicity.tokens(r.text.encode()), r.toxic) for r in marked.collect()]
+    kept = toxicity.telling_features(marked, len(rows), sum(y for _, y in rows))
+    sent = toxicity.labelled_features(marked, kept).collect()
+    assert len(sent) == len(rows) and max(len(r.features) for r in sent) <= 4 * len(kept) < 400
+    swap = toxicity.swaps()
+    every = [(toxicity.text_features(w), None if (o := toxicity.swapped(w, swap)) is None else toxicity.text_features(o), y) for w, y in rows]
+
+    def place(row):  # train's order of rows, which tells in the last digits
+        f, o = (None if x is None else np.intersect1d(x, kept).tobytes() for x in row[:2])
+        return row[2], f, o is not None, o or b""
+
+    model, whole = toxicity.train(docs, labels), toxicity.fit(sorted(every, key=place))
+    assert model.pairs == whole.pairs > 0
+    assert model.weights == whole.weights and model.bias == whole.bias
