@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexaloom import queries
 from lexaloom.operators import coref, edits, evaluate, graphs, labels, linking, links, ngrams, segments, typed, vectors
-from lexaloom.plans import services
+from lexaloom.plans import services, session
 from lexaloom.sources import readers, sinks
 from lexaloom.streaming import streams
 
@@ -93,6 +94,29 @@ def test_type_prediction_backs_off(spark):
     assert rows(typed.predicted_types(c, p), "type", "prob") == [("X", 0.375), ("Y", 0.625)]
 
 
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_contexts_are_never_broadcast(spark, monkeypatch, limit):
+    """Exploded contexts, which the planner takes for small, stay where they are, whatever the patterns' size."""
+    monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
+    p = spark.createDataFrame([(f"a b{k} SUB", t, k + 1) for k in range(300) for t in "XY"], "pattern string, type string, cnt long")
+    c = spark.range(1, 2).select(F.col("id").cast("int").alias("context_id"), F.array(*map(F.lit, ["a", "b3", "?", "c", "z"])).alias("context"))
+    for found in (typed.pattern_probabilities(c, p), typed.type_features(c, p)):
+        assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(typed.pattern_probabilities(c, p)) == [(1, "last", "X", 0.5), (1, "last", "Y", 0.5)]
+
+
+def test_typed_patterns_compile(spark):
+    """The types of a knowledge base made in the plan: its generated code compiles."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        made = spark.createDataFrame([("en/X", 1), ("de/Y", 1)], "uri string, cnt int")
+        counts = spark.createDataFrame([("a <dbpedia:en/X> b", 3), ("<dbpedia:de/Y>", 1)], "ngram string, cnt long")
+        got = session.checkpointed(typed.typed_patterns(counts, typed.type_at(queries.knowledge_base(made)), 1))
+        assert rows(got) == [("SUB", "Lang_de", 1), ("a SUB b", "Lang_en", 3)]
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_walk_links_prefer_related():
     r = [{"mention_id": 1, "mention": "A", "uri": "a", "cnt": 5}, {"mention_id": 2, "mention": "B", "uri": "b1", "cnt": 6}, {"mention_id": 2, "mention": "B", "uri": "b2", "cnt": 4}]
     e = [{"src": "a", "dst": "b2", "weight": 9.0}, {"src": "b2", "dst": "a", "weight": 9.0}, {"src": "b1", "dst": "z", "weight": 1.0}]
