@@ -133,6 +133,27 @@ def test_densest_prunes_large_mentions():
     assert g.link() == {1: "a11", 2: "b"}
 
 
+@pytest.mark.parametrize(("fill", "most"), [(0.02, 1 << 22), (0.5, 1 << 22), (0.02, 50), (0.5, 50)])
+def test_products_are_those_of_matrices(fill, most):
+    r = np.random.default_rng(3)
+    a, b = ((r.random((60, 60)) < fill) * r.integers(1, 9, (60, 60)) for _ in range(2))
+    got = np.zeros((60, 60))
+    for i, j, v in graphs.products((*np.nonzero(a), a[np.nonzero(a)].astype(float)), (*np.nonzero(b), b[np.nonzero(b)].astype(float)), most):
+        assert len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i)
+        got[i, j] += v
+    assert (got == a @ b).all()
+
+
+def test_paths_meet_before_they_move(spark, monkeypatch):
+    """A full graph: no plan of common_neighbours or signatures makes its paths as rows; several tasks and one agree."""
+    e = spark.range(40).select(F.col("id").alias("src")).join(spark.range(40).select(F.col("id").alias("dst"))).where("src < dst")
+    found = [rows(graphs.common_neighbours(e))]
+    monkeypatch.setattr(graphs, "ENTRIES", 200)
+    found.append(rows(out := graphs.common_neighbours(e)))
+    assert found[0] == found[1] == sorted(((i, j, 39 - j) for i in range(40) for j in range(i + 1, 39)), key=repr)
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Join") == 1
+
+
 def test_common_neighbours(spark):
     e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("a", "d"), ("b", "d")], "src string, dst string")
     assert rows(graphs.common_neighbours(e)) == [("a", "b", 2)]
