@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -184,3 +185,61 @@ def test_synonyms_and_tweet_entities(spark):
     assert {r.word: r.lemma for r in lexicon.lemmas(words, table).collect()} == {"Cars": "car", "car": "car", "sky": "sky"}
     ner = spark.createDataFrame([(1, "Paris"), (1, "nasa"), (2, "nasa")], "doc_id long, text string")
     assert sorted(map(tuple, linking.without_tweet_entities(ner, spark.createDataFrame([(1, "nasa")], "doc_id long, text string")).collect())) == [(1, "Paris"), (2, "nasa")]
+
+
+@pytest.mark.parametrize("sizes", [(16_384, 65_536), (3, 40)])
+def test_nearest_by_blocks(spark, monkeypatch, sizes):
+    """Blocks of matrices find what a comparison of all pairs finds: copies tie by item, vectors without a direction are last; no join of pairs."""
+    monkeypatch.setattr(vectors, "QUERIES", sizes[0])
+    monkeypatch.setattr(vectors, "ITEMS", sizes[1])
+    r = np.random.default_rng(2)
+    x = r.normal(size=(120, 8)).astype(np.float32)
+    x[60:90], x[7] = x[3], 0
+    v = spark.createDataFrame([(i, [float(a) for a in y]) for i, y in enumerate(x)] + [(120, None)], "vec_id long, embedding array<float>")
+    found = vectors.nearest(v.where("vec_id % 10 = 3"), v, 10, digits=6)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(f.query, f.rank, f.item, f.score) for f in found.orderBy("query", "rank").collect()]
+    want = []
+    for i in range(3, 120, 10):
+        score = {j: round(float(x[i].astype(float) @ y.astype(float) / np.sqrt((x[i].astype(float) ** 2).sum() * (y.astype(float) ** 2).sum())), 6) for j, y in enumerate(x) if j not in (i, 7)}
+        want += [(i, n + 1, j, s) for n, (j, s) in enumerate(sorted(score.items(), key=lambda p: (-p[1], p[0]))[:10])]
+    assert got == want
+    few = vectors.nearest(v.where("vec_id = 3"), v.where("vec_id IN (3, 7, 9, 120)"), 10).orderBy("rank").collect()
+    assert [f.item for f in few] == [9, 7, 120] and few[1].score is None
+
+
+def test_word_vectors_are_trained_in_parts(spark, monkeypatch):
+    t = spark.createDataFrame([(["a", "b", "c", "d"],)] * 40, "tokens array<string>")
+    assert vectors.word_vectors(t, size=4, min_count=2).getNumPartitions() == 1
+    monkeypatch.setattr(vectors, "WORDS", 50)
+    model = vectors.word_vectors(t, size=4, min_count=2)
+    assert model.getNumPartitions() == 4 and {r.word for r in vectors.vectors_of(model).collect()} == set("abcd")
+
+
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_asked_patterns_are_those_of_all(spark, monkeypatch, limit):
+    monkeypatch.setattr(ngrams, "BROADCAST_BYTES", limit)
+    t = spark.createDataFrame([(["a", "of", "b", "in"],), (["of"],), ([],), (None,)], "tokens array<string>")
+    words = spark.createDataFrame([("of",), ("in",)], "word string")
+    every = {(r.pattern, r.substitution): r.cnt for r in ngrams.pattern_counts(t, words).collect()}
+    assert every[("SUB", "of")] == 2 and every[("a SUB b", "of")] == 1 and every[("of b SUB", "in")] == 1 and len(every) == 8
+    asked = spark.createDataFrame([("SUB",), ("a SUB",), ("a SUB",), ("x SUB",)], "pattern string")
+    got = {(r.pattern, r.substitution): r.cnt for r in ngrams.pattern_counts(t, words, asked=asked).collect()}
+    assert got == {k: v for k, v in every.items() if k[0] in ("SUB", "a SUB")}
+
+
+def test_counts_are_compiled(spark):
+    """Windows of n-grams are made by compiled code, without lambdas, and not sent anywhere before they are counted."""
+    t = spark.createDataFrame([(["a", "b", "a"],), (["c"],), ([],), (None,)], "tokens array<string>")
+    found = ngrams.ngram_counts(t, (1, 2, 3))
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.ngram, r.n, r.cnt) for r in found.collect()) == [("a", 1, 2), ("a b", 2, 1), ("a b a", 3, 1), ("b", 1, 1), ("b a", 2, 1), ("c", 1, 1)]
+
+
+def test_starts_are_never_broadcast(spark):
+    """Sentences' words, which the planner takes for small once exploded, stay where they are in greedy linking."""
+    s = spark.range(1, 2).select(F.col("id").alias("sent_id"), F.array(*map(F.lit, "x New York of New".split())).alias("tokens"))
+    labs = spark.createDataFrame([("New York", "NY"), ("New York of", "NYO"), ("New", "N")], "label string, uri string")
+    found = labels.greedy_links(s, labs)
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 4, "New York of", "NYO"), (1, 4, 5, "New", "N")]
